@@ -15,6 +15,7 @@ import heapq
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import chunks, text_rows
@@ -152,7 +153,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
         for b in chunks(batches):
             texts = [x or "" for x in b.column("text").to_pylist()]
             n = [c.count(x) for x in texts]
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column("text").cast(pa.binary())), 0)
+            size = pc.fill_null(pc.binary_length(b.column("text").cast(pa.binary())), 0)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), size.cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes handed to one step of a Python operator.
@@ -66,7 +67,7 @@ def chunks(batches, limit: int = CHUNK_BYTES, column: str = "text"):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > limit:
