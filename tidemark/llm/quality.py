@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are built from a bounded sample of labelled texts.
 Every text is cut into pieces, each piece is compressed with either dictionary,
-and the difference of the two total sizes over their sum, calibrated by a
-logistic fit on the learning rows, is the score.
+and the difference of the two total sizes over the text's size, calibrated by a
+logistic fit on the learning rows, is the score.  Over the text's size, not over
+the compressed sizes: text that repeats itself compresses to little with either
+dictionary and gains nothing from the good one.
 
 Defined cases: null and empty texts have no pieces and a difference of 0; if a
 class has no learning rows, or too little text for a dictionary, every score is
@@ -25,9 +27,9 @@ from .common import chunks, text_rows, texts
 
 #: Labelled rows of each class that learning reads at most, and bytes of their text that reach the driver.
 PER_CLASS, TRAIN_BYTES = 2_000, 16 << 20
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES = 110 << 10
 #: Bytes of text compressed at a time: short enough that the dictionary matters for every part of a long text.
-PIECE = 2 << 10
+PIECE = 1 << 10
 LEVEL = 3
 
 
@@ -37,6 +39,10 @@ class Model:
     bad: bytes
     fit: tuple[float, float] | None
     base: float
+    scale: float = 1.0
+
+    def scores(self, differences: np.ndarray) -> np.ndarray:
+        return labelled.probability(np.tanh(differences / self.scale), self.fit)
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -54,10 +60,10 @@ class Sizes:
             self.compressors.append(zstandard.ZstdCompressor(dict_data=made, level=LEVEL, write_content_size=False, write_dict_id=False))
 
     def difference(self, text: bytes) -> float:
-        """(bad - good) / (bad + good): positive where the good dictionary serves better."""
+        """(bad - good) / size: positive where the good dictionary serves better."""
         cut = pieces(text)
         good, bad = (sum(len(c.compress(p)) for p in cut) for c in self.compressors)
-        return (bad - good) / (bad + good) if cut else 0.0
+        return (bad - good) / len(text) if cut else 0.0
 
 
 _SIZES: dict[tuple[bytes, bytes], Sizes] = {}
@@ -105,8 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(d, pa.float64())], ["label", "x"])
 
     xy = np.array([(r.x, r.label) for r in rows.mapInArrow(run, "label int, x double").collect()]).reshape(-1, 2)
-    fit = labelled.logistic(xy[:, 0], xy[:, 1], labelled.class_weights(xy[:, 1], counts))
-    return Model(model.good, model.bad, fit, base)
+    scale = float(np.median(np.abs(xy[:, 0]))) or 1.0  # bounds what texts far from both classes weigh in the fit
+    fit = labelled.logistic(np.tanh(xy[:, 0] / scale), xy[:, 1], labelled.class_weights(xy[:, 1], counts), ridge=1e-3)
+    return Model(model.good, model.bad, fit, base, scale)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -117,7 +124,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if model.fit is None:
                 p = np.full(b.num_rows, model.base)
             else:
-                p = labelled.probability(np.array([sizes(model).difference(t) for t in texts(b)]), model.fit)
+                p = model.scores(np.array([sizes(model).difference(t) for t in texts(b)]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, score double")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi, bpe_count, decontam, labelled, quality, substring, token_files, toxicity
+from . import avi, bpe_count, decontam, labelled, minhash, mixing, quality, sharding, substring, token_files, toxicity
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_tokens(spark, manifest)
@@ -45,6 +49,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated(documents(spark, sf_dir), keep_text=False)
 
@@ -55,10 +67,13 @@ def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_bag_minhash": op2_bag_minhash,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_avi": op10_avi,
 }

@@ -1,9 +1,12 @@
 """Operator 4, toxicity: maximum-scoring segments over token log-odds.
 
-Learning counts the words of a bounded labelled sample by class.  A word's
-score is its log-odds ratio between the classes under an informative Dirichlet
-prior, kept where it is significant, less a drift that makes clean text cost.
-A linear scan finds every maximal-scoring segment of a text.  Segment scores
+Learning counts tokens of a bounded labelled sample by class: each distinct word
+of a text and the word's prefixes, once a text and word, so that a text that
+repeats a word cannot make it count.  A token's score is its log-odds ratio
+between the classes under an informative Dirichlet prior, kept where it is
+significant.  A word takes the score of the longest token that fits it, at its
+first place in a text, less a drift that makes clean text cost.  A linear scan
+finds every maximal-scoring segment of a text.  Segment scores
 follow an extreme-value law in clean text, so lambda comes from the clean
 score distribution and K from the sample's clean documents; the normalised
 scores of a document's segments are summed, and a logistic fit on the
@@ -25,35 +28,65 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import labelled
-from .common import chunks, folded_words, text_rows, texts
+from .common import chunks, folded_words, text_rows, texts, written
 
 #: Labelled rows of each class that learning reads at most.
 PER_CLASS = 6_000
-#: Words of the model at most, the most significant first.
-MAX_WORDS = 50_000
-#: Prior weight as a share of all counted words, and the least |z| of a word that counts.
+#: Tokens of the model at most, the most significant first.
+MAX_TOKENS = 50_000
+#: Lengths of the prefixes that are tokens, in characters, the longest first.
+PREFIXES = (8, 7, 6, 5, 4, 3)
+#: Entries of a worker's cache of word scores before it is emptied.
+CACHE_ENTRIES = 500_000
+#: Prior weight as a share of all counted words, and the least |z| of a token that counts.
 PRIOR, LEAST_Z = 0.01, 3.0
 #: What each word costs, so that clean text has a falling score.
 DRIFT = 0.25
 
 
+def tokens(word: bytes) -> list[str]:
+    """The tokens of a word, the longest first: ``word$`` and ``prefix*``."""
+    w = word.decode("utf-8", "replace")
+    return [w + "$", *(w[:k] + "*" for k in PREFIXES if len(w) >= k)]
+
+
+class WordScores(dict):
+    """Scores by word; None for words that no token of the model fits."""
+
+    def __init__(self, scores: dict[str, float]):
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, word: bytes) -> float | None:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        s = self[word] = next((self.scores[t] for t in tokens(word) if t in self.scores), None)
+        return s
+
+    def __reduce__(self):
+        return WordScores, (self.scores,)  # the cache stays behind
+
+
 @dataclass(frozen=True)
 class Model:
-    scores: dict[bytes, float]
+    scores: WordScores
     lam: float
     log_k: float
     fit: tuple[float, float] | None
     base: float
 
 
-def segments(words: list[bytes], scores: dict[bytes, float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+def segments(words: list[bytes], scores: WordScores, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """(from, to, score) of all maximal-scoring segments, left to right; ``to`` is exclusive.
 
     Every segment starts and ends at a word of positive score, so the scan
     visits known words only and charges the words between them as one step.
     """
-    get = scores.get
-    known = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+    known, seen = [], set()
+    for i, s in enumerate(map(scores.__getitem__, words)):
+        if s is not None and words[i] not in seen:
+            seen.add(words[i])
+            known.append((i, s))
     # Candidates as (from, to, total before, total after).  A candidate joins an earlier one
     # whose total before is less, if the total after has not been reached there.
     found: list[tuple[int, int, float, float]] = []
@@ -103,30 +136,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     rows, counts = labelled.sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class)
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     if not (counts.get(0) and counts.get(1)):
-        return Model({}, 1.0, 0.0, None, base)
+        return Model(WordScores({}), 1.0, 0.0, None, base)
 
     def count(batches):
         for b in chunks(batches, 32 << 20):
             seen = {0: Counter(), 1: Counter()}
             for y, t in zip(b.column("label").to_pylist(), texts(b)):
-                seen[y].update(folded_words(t))
-            words = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([seen[y][w] for w in words], pa.int64()) for y in (0, 1))], ["word", "clean", "toxic"])
-
-    totals = rows.mapInArrow(count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = rows.mapInArrow(count, "word binary, clean long, toxic long").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
-    n0, n1 = n.clean or 0, n.toxic or 0
+                words = set(folded_words(t))
+                seen[y][""] += len(words)
+                for w in words:
+                    seen[y].update(tokens(w))
+            found = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([seen[y][w] for w in found], pa.int64()) for y in (0, 1))], ["token", "clean", "toxic"])
+
+    totals = written(rows.mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens-toxic")
+    n = totals.where("token = ''").first()
+    n0, n1 = (n.clean, n.toxic) if n else (0, 0)
     if not n0 or not n1:
-        return Model({}, 1.0, 0.0, None, base)
+        return Model(WordScores({}), 1.0, 0.0, None, base)
     prior = PRIOR * (n0 + n1)
     a = F.lit(PRIOR) * (F.col("clean") + F.col("toxic"))
     odds = lambda y, m: F.log((F.col(y) + a) / (F.lit(m + prior) - F.col(y) - a))
     delta = odds("toxic", n1) - odds("clean", n0)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    kept = totals.select("word", "clean", delta.alias("delta"), z.alias("z"), ((F.col("clean") + a) / F.lit(n0 + prior)).alias("share")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS).collect()
-    scores = {bytes(r.word): r.delta for r in kept}
-    s = np.array([r.delta - DRIFT for r in kept] + [-DRIFT])
-    p = np.array([r.share for r in kept])
+    share = (F.col("clean") + a) / F.lit(n0 + prior)
+    kept = totals.where("token <> ''").select("token", delta.alias("delta"), z.alias("z"), share.alias("share")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()
+    scores = WordScores({r.token: r.delta for r in kept})
+    gains = [(r.delta - DRIFT, r.share) for r in kept if r.delta > DRIFT]
+    s, p = np.array([x for x, _ in gains] + [-DRIFT]), np.array([x for _, x in gains])
     lam = decay(s, np.append(p, max(1e-9, 1 - p.sum())) / max(1.0, p.sum()))
 
     def best(batches):
