@@ -30,17 +30,11 @@ BLOCK_WORDS, OUTPUT_SHARDS = 128, 64
 BUCKET_DOCS, CHUNK_SLOTS = 2048, 4096
 #: Rounds of a permutation.
 ROUNDS = 24
-#: fixed values: the modulus 2^31 - 1 and odd multipliers of the arithmetic hash.
-PRIME, MULTIPLIERS = 2147483647, (48271, 69621, 39373, 16807)
 
 
 def hashed(*of: Column) -> Column:
-    """A value in [0, PRIME) by modular arithmetic that any SQL engine repeats."""
-    out = F.lit(20250101).cast("long")
-    for x, a in zip(of, MULTIPLIERS):
-        out = F.pmod(out * a + F.pmod(x.cast("long"), F.lit(PRIME)) + 12345, F.lit(PRIME))
-        out = F.pmod(out * out, F.lit(PRIME)) + out
-    return F.pmod(out * 16807 + 99991, F.lit(PRIME))
+    """A value in [0, 2^48) that the columns decide."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 16)
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -48,7 +42,7 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
     def swap(at: Column, r: Column) -> Column:
         mirror = F.pmod(hashed(r, *key) - at, n)
-        return F.when(F.pmod(F.shiftright(hashed(F.greatest(at, mirror), r + ROUNDS, *key), 9), F.lit(2)) == 1, mirror).otherwise(at)
+        return F.when(F.pmod(hashed(F.greatest(at, mirror), r + ROUNDS, *key), F.lit(2)) == 1, mirror).otherwise(at)
 
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), x.cast("long"), swap)
 

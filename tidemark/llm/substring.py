@@ -69,15 +69,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The Rabin-Karp hash of each run of ``width`` words: sum of h[i + k] * BASE ** (width - 1 - k)."""
+    """The Rabin-Karp hash of each run of ``width`` words: sum of h[i + k] * BASE ** (width - 1 - k).
+
+    Runs of doubled length are put together by the binary digits of the width.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= np.uint64(BASE)
-        out += hashes[k : k + n]
-    return mixed(out)
+    out, done, part, size = None, 0, hashes, 1
+    while True:
+        if width & size:
+            out = part if out is None else part[: len(part) - done] * power(done) + out[size:][: len(part) - done]
+            done += size
+        if done == width:
+            return mixed(out[:n])
+        part = part[:-size] * power(size) + part[size:]
+        size *= 2
+
+
+def power(n: int) -> np.uint64:
+    return np.uint64(pow(BASE, n, 1 << 64))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -101,8 +112,10 @@ def block_words(table: pa.Table) -> list[list[bytes]]:
 
 def block_windows(words: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of a block's documents, and how many each document has."""
-    flat = [window_hashes(word_hashes(w), width) for w in words]
-    return (np.concatenate(flat) if flat else np.empty(0, np.uint64)), np.array([len(x) for x in flat], np.int64)
+    size = np.array([len(w) for w in words], np.int64)
+    every = window_hashes(word_hashes(list(chain.from_iterable(words))), width)
+    left = np.repeat(np.cumsum(size), size)[: len(every)] - np.arange(len(every))  # words to the end of the document
+    return every[left >= width], np.maximum(size - width + 1, 0)
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -172,13 +185,18 @@ def repeated(docs: DataFrame, width: int = 20, block_bytes: int = BLOCK_BYTES, k
         docs = in_order(docs)
         words = block_words(docs)
         hashes, n = block_windows(words, width)
-        _, first = np.unique(hashes, return_index=True)
-        dup = np.ones(len(hashes), np.bool_)
-        dup[first] = False
-        for x in answers.column("hashes").to_pylist():
-            known = unpacked(x)
-            at = np.searchsorted(known, hashes)
-            dup |= known[np.minimum(at, len(known) - 1)] == hashes
+        order = np.argsort(hashes, kind="stable")
+        ascending = hashes[order]
+        dup = np.zeros(len(hashes), np.bool_)
+        dup[order[1:]] = ascending[1:] == ascending[:-1]  # all but the first of equal hashes
+        known = np.concatenate([np.empty(0, np.uint64), *(unpacked(x) for x in answers.column("hashes").to_pylist())])
+        known.sort()
+        if len(known) and len(hashes):
+            lo, hi = np.searchsorted(ascending, known), np.searchsorted(ascending, known, "right")
+            marks = np.zeros(len(hashes) + 1, np.int32)
+            np.add.at(marks, lo, 1)
+            np.add.at(marks, hi, -1)
+            dup[order[np.cumsum(marks[:-1]) > 0]] = True
         ends = np.cumsum(n)
         out = []
         for w, lo, hi in zip(words, (ends - n).tolist(), ends.tolist()):
