@@ -93,13 +93,13 @@ add(
     f"SELECT {BUCKET} AS time_bucket, metric_name, k, user_id, round(sum(v), 6) AS value FROM {M} WHERE metric_name = 'view' AND regexp_matches(k, '^[1-4]') AND {SCOPE} GROUP BY ALL",
 )
 STEPS = f"""(SELECT *, CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END AS gain FROM
-  (SELECT *, lag(v) OVER (PARTITION BY user_id, k ORDER BY timestamp_ns, v) AS b FROM {M} WHERE metric_name = 'view' AND timestamp_ns > {START * NS} - 86400 * {NS} AND timestamp_ns <= {END * NS}))"""
-GRID = f"(SELECT {START * NS} + i * 21600 * {NS} AS time_bucket FROM range(0, {(END - START) // 21600 + 1}) t(i))"
+  (SELECT *, lag(v) OVER (PARTITION BY user_id, k ORDER BY timestamp_ns, v) AS b FROM {M} WHERE metric_name = 'view' AND timestamp_ns > {START * NS} - {86400 * NS} AND timestamp_ns <= {END * NS}))"""
+GRID = f"(SELECT {START * NS} + i * {21600 * NS} AS time_bucket FROM range(0, {(END - START) // 21600 + 1}) t(i))"
 for fn, expr in {"increase": "sum(gain)", "rate": "sum(gain) / 86400", "delta": "max_by(v, (timestamp_ns, v)) - min_by(v, (timestamp_ns, v))"}.items():
     add(
         f"series_range_{fn}",
         lambda s, d, fn=fn: rounded(promql.range_query(metrics(s, d), f"{fn}(view[1d])", START, END, 21600, compat=False), "value"),
-        f"SELECT time_bucket, metric_name, user_id, k, round({expr}, 6) AS value FROM {STEPS} JOIN {GRID} ON timestamp_ns > time_bucket - 86400 * {NS} AND timestamp_ns <= time_bucket GROUP BY ALL",
+        f"SELECT time_bucket, metric_name, user_id, k, round({expr}, 6) AS value FROM {STEPS} JOIN {GRID} ON timestamp_ns > time_bucket - {86400 * NS} AND timestamp_ns <= time_bucket GROUP BY ALL",
     )
 add(
     "vector_json",

@@ -110,8 +110,8 @@ FAMILIES: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
             ("part", "CAST(date_part('doy', ts) AS INT)", "CAST(date_part('doy', ts) AS INT)"),
             ("extract", "CAST(extract(HOUR FROM ts) AS INT)", None),
             ("dow", "dayofweek(ts) - 1", "CAST(dayofweek(ts) AS INT)"),
-            ("make_date", "make_date(2024, month(ts), day(ts))", "make_date(2024, month(ts), day(ts))"),
-            ("to_date", "to_date('2024-01-05')", "CAST('2024-01-05' AS DATE)"),
+            ("make_date", "CAST(make_date(2024, month(ts), day(ts)) AS STRING)", "CAST(CAST(make_date(2024, month(ts), day(ts)) AS DATE) AS VARCHAR)"),
+            ("to_date", "CAST(to_date('2024-01-05') AS STRING)", "CAST(CAST(CAST('2024-01-05' AS DATE) AS DATE) AS VARCHAR)"),
             ("to_timestamp", "CAST(to_timestamp('2024-01-05 01:02:03') AS TIMESTAMP_NTZ)", "TIMESTAMP '2024-01-05 01:02:03'"),
             ("from_seconds", "CAST(timestamp_seconds(1700000000) AS TIMESTAMP_NTZ)", "make_timestamp(1700000000000000)"),
             ("from_millis", "CAST(timestamp_millis(1700000000123) AS TIMESTAMP_NTZ)", "make_timestamp(1700000000123000)"),
@@ -122,7 +122,7 @@ FAMILIES: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
             ("minus", "CAST(unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT)", "epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')"),
             ("epoch_ns", "unix_micros(CAST(ts AS TIMESTAMP)) * 1000", "epoch_us(ts) * 1000"),
             ("datediff", "datediff(ts, DATE '2024-01-01')", "CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT)"),
-            ("last_day", "last_day(ts)", "last_day(ts)"),
+            ("last_day", "CAST(last_day(ts) AS STRING)", "CAST(CAST(last_day(ts) AS DATE) AS VARCHAR)"),
         ],
     ),
     "fn_conditional": (
@@ -157,14 +157,14 @@ FAMILIES: dict[str, tuple[str, str, list[tuple[str, str, str | None]]]] = {
             ("element", "element_at(array(p_size, 1), 1)", "[p_size, 1][1]"),
             ("missing", "try_element_at(array(p_size, 1), 5)", "[p_size, 1][5]"),
             ("empty", "size(array()) = 0", "len([]) = 0"),
-            ("except", "array_join(sort_array(array_except(array(p_size, 1, 2), array(1))), ',')", "array_to_string(list_sort(list_distinct(list_filter([p_size, 1, 2], x -> x <> 1))), ',')"),
+            ("except", "array_join(sort_array(array_except(array(p_size, 1, 2), array(1))), ',')", "array_to_string(list_sort(list_distinct(list_filter([p_size, 1, 2], lambda x: x <> 1))), ',')"),
             ("intersect", "array_join(sort_array(array_intersect(array(p_size, 1, 2), array(1, 2))), ',')", "array_to_string(list_sort(list_intersect([p_size, 1, 2], [1, 2])), ',')"),
             ("union", "array_join(sort_array(array_union(array(p_size), array(1, 2))), ',')", "array_to_string(list_sort(list_distinct([p_size, 1, 2])), ',')"),
             ("length", "size(split(p_name, ' '))", "CAST(len(string_split(p_name, ' ')) AS INT)"),
             ("position", "CAST(array_position(array(1, 2, 3), p_size) AS INT)", "coalesce(list_position([1, 2, 3], p_size), 0)"),
-            ("remove", "array_join(array_remove(array(p_size, 1, 2), 1), ',')", "array_to_string(list_filter([p_size, 1, 2], x -> x <> 1), ',')"),
+            ("remove", "array_join(array_remove(array(p_size, 1, 2), 1), ',')", "array_to_string(list_filter([p_size, 1, 2], lambda x: x <> 1), ',')"),
             ("repeat", "array_join(array_repeat(p_size, 3), ',')", "array_to_string([p_size, p_size, p_size], ',')"),
-            ("replace", "array_join(transform(array(p_size, 1), x -> if(x = 1, 9, x)), ',')", "array_to_string(list_transform([p_size, 1], x -> CASE WHEN x = 1 THEN 9 ELSE x END), ',')"),
+            ("replace", "array_join(transform(array(p_size, 1), x -> if(x = 1, 9, x)), ',')", "array_to_string(list_transform([p_size, 1], lambda x: CASE WHEN x = 1 THEN 9 ELSE x END), ',')"),
             ("reverse", "array_join(reverse(array(p_size, 1)), ',')", "array_to_string(list_reverse([p_size, 1]), ',')"),
             ("slice", "array_join(slice(array(p_size, 1, 2, 3), 2, 2), ',')", "array_to_string([p_size, 1, 2, 3][2:3], ',')"),
             ("sort", "array_join(sort_array(array(p_size, 10, 5)), ',')", "array_to_string(list_sort([p_size, 10, 5]), ',')"),
