@@ -93,7 +93,9 @@ def slots(sources: DataFrame, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
     plan = sources.where("source_size > 0").withColumn("blocks", blocks)
     plan = plan.withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).where("slots > 0")
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(CHUNK_SLOTS)).cast("long")))
-    chunks = plan.select("rank", "blocks", "slots", chunk.alias("chunk")).repartition("rank", "chunk")
+    # A fixed number of partitions: by bytes the chunks are nothing, by the slots they stand for they are all the work.
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = plan.select("rank", "blocks", "slots", chunk.alias("chunk")).repartition(parts, "rank", "chunk")
     first = F.col("chunk") * CHUNK_SLOTS
     made = chunks.select("rank", "blocks", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)).alias("slot"))
     epoch, place = F.floor(F.col("slot") / F.col("blocks")).cast("long"), F.pmod("slot", "blocks")
@@ -121,7 +123,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     times = slots(sources).groupBy("rank", "block").agg(F.count("*").alias("times"))
     first = F.col("block") * BLOCK_WORDS
     part = F.least(F.col("start") + F.col("size"), first + BLOCK_WORDS) - F.greatest(F.col("start"), first)
-    taken = pieces.join(times, ["rank", "block"], "left").groupBy(*own).agg(F.sum(part * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+    # The planner takes the few rows that slots are exploded from for their size; they must not be broadcast.
+    taken = pieces.join(times.hint("merge"), ["rank", "block"], "left").groupBy(*own).agg(F.sum(part * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     none = placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
 
