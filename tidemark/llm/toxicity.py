@@ -123,12 +123,18 @@ def decay(scores: np.ndarray, share: np.ndarray) -> float:
     return hi
 
 
+def chance_level(n: int, log_k: float) -> float:
+    """What the best segment of a clean text of n words reaches, in units of 1 / lambda; no text is too short for 0."""
+    return max(0.0, log_k + float(np.log(n)))
+
+
 def normalised(found: list[tuple[int, int, float]], n: int, lam: float, log_k: float) -> float:
-    """Sum of the significant segments' normalised scores; the best one if none is significant; 0 without words."""
-    if not found:
-        return -(log_k + np.log(n)) if n else 0.0
-    bits = [lam * s - log_k - np.log(n) for _, _, s in found]
-    return sum(b for b in bits if b > 0) or max(bits)
+    """Sum of the significant segments' scores above chance; the best one if none is significant; without segments, a score of 0."""
+    if not n:
+        return 0.0
+    level = chance_level(n, log_k)
+    above = [lam * s - level for _, _, s in found]
+    return sum(x for x in above if x > 0) or max(above, default=-level)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, per_class: int = PER_CLASS) -> Model:
@@ -193,7 +199,7 @@ def score_of(words: list[bytes], model: Model) -> tuple[float, list[tuple[int, i
     found = segments(words, model.scores)
     n = len(words)
     p = float(labelled.probability(np.array(normalised(found, n, model.lam, model.log_k)), model.fit))
-    return p, [x for x in found if model.lam * x[2] > model.log_k + np.log(n)]
+    return p, [x for x in found if model.lam * x[2] > chance_level(n, model.log_k)]
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
