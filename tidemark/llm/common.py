@@ -48,18 +48,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends there."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder and read again, and where: lineage ends there."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
 
 
-def release(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders that an operator wrote and no longer needs."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def release(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator wrote and no plan reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def chunks(batches, limit: int = CHUNK_BYTES, column: str = "text"):

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for every node of the links (a, b)."""
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    spark = links.sparkSession
+    edges, edges_path = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels, path = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
     while True:
         heard = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
         near = labels.join(heard, "node").select("node", F.col("comp").alias("was"), F.least("comp", "heard").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("comp").alias("far"))
         step = near.join(jump, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("comp"), "was")
-        step = written(step, "labels")
+        old = path
+        step, path = stored(step, "labels")
+        release(spark, old)
         labels = step.select("node", "comp")
         if step.where("comp <> was").limit(1).count() == 0:
+            release(spark, edges_path)
             return labels
