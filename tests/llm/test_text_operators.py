@@ -165,6 +165,14 @@ def test_signatures_estimate_without_bias():
     assert abs(np.mean(runs) - true) < 4 * (true * (1 - true) / (128 * 60)) ** 0.5
 
 
+def test_overlaps():
+    r = random.Random(8)
+    texts = [[b"w%d" % r.randrange(6) for _ in range(r.randrange(1, 40))] for _ in range(12)] + [[b"a"] * 30, [b"a"] * 25]
+    bags = [minhash.shingles(w) for w in texts]
+    got = minhash.overlaps(bags)
+    assert all(abs(got[i, j] - minhash.overlap(a, b)) < 1e-6 for i, a in enumerate(bags) for j, b in enumerate(bags) if i != j)
+
+
 def test_components(spark):
     chain = [(f"{i:04}".encode(), f"{i + 1:04}".encode()) for i in range(50)] + [(b"x", b"y"), (b"y", b"x"), (b"z", b"z")]
     got = components.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in chain], "a binary, b binary")).collect()

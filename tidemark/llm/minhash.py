@@ -17,13 +17,11 @@ components meet in a bucket.
    components.
 2. Buckets that still hold several components are compared in full, tile by
    tile: members are dealt into tiles of bounded size, a task gets two tiles,
-   and in it pairs of different components whose signatures agree enough are
-   verified.  Tasks return links only, at most one for each node they join, so
-   no pair is ever emitted for being in the same bucket, and no bucket is
-   capped.
+   and one matrix product gives the exact overlaps of all its nodes.  Tasks
+   return only links that join components, fewer than they have nodes, so no
+   pair is ever emitted for being in the same bucket, and no bucket is capped.
 
-The chance to miss a pair at the threshold is (1 - 0.8^4)^32 < 1e-7 for the
-bands, and below 1e-7 for the agreement bound of the second step.
+The chance to miss a pair at the threshold is (1 - 0.8^4)^32 < 1e-7.
 
 Defined cases: a null text is in a class of its own; texts without words are in
 a class with the very same texts only; a text of fewer than five words has one
@@ -46,10 +44,10 @@ from .substring import mixed, window_hashes, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
-#: Components that must agree before a pair of step 2 is verified: 0.8 less six deviations.
-LEAST_AGREEING = 0.59
-#: Nodes in a tile, and members verified against a leader in one task.
-TILE, STAR = 256, 256
+#: Nodes and words in a tile at most, about; members verified against a leader in one task.
+TILE, TILE_WORDS, STAR = 1024, 2_000_000, 256
+#: Columns of shingles that a matrix product takes at a time.
+COLUMNS = 4096
 #: A column name that no table uses.
 KEY = "tidemark near duplicate key"
 GOLDEN, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
@@ -75,6 +73,34 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (total - both)
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of different multisets.
+
+    The j-th occurrence of a shingle is an element of its own, so the overlap
+    of two multisets is the product of two rows of noughts and ones.  Elements
+    that only one multiset has take no column.
+    """
+    n = len(bags)
+    size = np.array([int(c.sum()) for _, c in bags])
+    of = np.repeat(np.arange(n), size)
+    counts = np.concatenate([c for _, c in bags]).astype(np.int64)
+    first = np.cumsum(counts) - counts
+    nth = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    unit = mixed(np.repeat(np.concatenate([h for h, _ in bags]), counts) + nth.astype(np.uint64) * GOLDEN)
+    _, at, held = np.unique(unit, return_inverse=True, return_counts=True)
+    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[at]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        x = np.zeros((n, int(column[b - 1]) - low + 1), np.float32)
+        x[of[a:b], column[a:b] - low] = 1
+        both += x @ x.T
+    both = both.astype(np.float64)
+    return both / np.maximum(size[:, None] + size[None, :] - both, 1)
+
+
 def signatures(of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, m: int = COMPONENTS) -> np.ndarray:
     """BagMinHash values, n x m, of n multisets given as (multiset, hash, count) in parallel arrays.
 
@@ -145,7 +171,7 @@ def node_of(text: bytes, words: list[bytes]) -> bytes:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands, th (a hash of the text by which it is found again) of every document."""
+    """doc_id, node, words (their number), bands, th (a hash of the text by which it is found again) of every document."""
 
     def run(batches):
         for b in chunks(batches):
@@ -155,10 +181,10 @@ def signed(docs: DataFrame) -> DataFrame:
             valid = b.column("text").is_valid().to_pylist()
             node = [node_of(t, w) if ok else None for t, w, ok in zip(raw, words, valid)]
             bands = [k if w else None for k, w in zip(keys, words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), b.column("th")], ["doc_id", "node", "bands", "th"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array([len(w) for w in words], pa.int64()), pa.array(bands, pa.list_(pa.int64())), b.column("th")], ["doc_id", "node", "words", "bands", "th"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node binary, bands array<long>, th long")
+    return rows.mapInArrow(run, "doc_id long, node binary, words long, bands array<long>, th long")
 
 
 class Links:
@@ -191,21 +217,15 @@ def star_links(table: pa.Table) -> pa.Table:
 
 
 def tile_links(table: pa.Table) -> pa.Table:
-    """Links between nodes of different components that share a bucket and stand in a pair of tiles."""
-    rows = {n: (c, t) for n, c, t in zip(table.column("node").to_pylist(), table.column("comp").to_pylist(), table.column("text").cast(pa.binary()).to_pylist())}
-    nodes = sorted(rows)
-    bags = [shingles(folded_words(rows[n][1] or b"")) for n in nodes]
-    of = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
-    sig = signatures(of, np.concatenate([h for h, _ in bags]), np.concatenate([c for _, c in bags]).astype(np.int64), len(bags))
-    comps = Links(list({c for c, _ in rows.values()}))
-    comp = [rows[n][0] for n in nodes]
-    agree = np.stack([(sig == s).mean(1) for s in sig])
+    """Links that join components, between nodes that share a bucket and stand in a pair of tiles."""
+    comp = table.column("comp").to_pylist()
     found = []
-    # The nodes nearest to all others first: they join most of a group at once.
-    for i in np.argsort(-agree.sum(1), kind="stable").tolist():
-        for j in np.flatnonzero(agree[i] >= LEAST_AGREEING).tolist():
-            if i != j and comps.root(comp[i]) != comps.root(comp[j]) and overlap(bags[i], bags[j]) >= THRESHOLD:
-                comps.join(comp[i], comp[j])
+    if len(set(comp)) > 1:
+        nodes = table.column("node").to_pylist()
+        alike = overlaps([shingles(folded_words(t or b"")) for t in table.column("text").cast(pa.binary()).to_pylist()]) >= THRESHOLD
+        joined = Links(comp)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike, 1)))):
+            if joined.join(comp[i], comp[j]):
                 found.append((nodes[i], nodes[j]))
     return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
@@ -213,11 +233,11 @@ def tile_links(table: pa.Table) -> pa.Table:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, th and comp, the same for all documents of a class; null for null texts."""
     rows = written(signed(docs), "signed")
-    nodes = rows.where("bands is not null").groupBy("node").agg(F.min("th").alias("th"), F.first("bands").alias("bands"))
-    bands = nodes.select("node", "th", F.explode("bands").alias("key"))
+    nodes = rows.where("bands is not null").groupBy("node").agg(F.min("th").alias("th"), F.max("words").alias("words"), F.first("bands").alias("bands"))
+    bands = nodes.select("node", "th", "words", F.explode("bands").alias("key"))
     # Buckets of two nodes at least; how often a node meets others says how central it is.
-    size = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(size, "key"), "members")
+    size = bands.groupBy("key").agg(F.count("*").alias("size"), F.sum("words").alias("words")).where("size > 1")
+    members = written(bands.drop("words").join(size, "key"), "members")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "node")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "node", "th")).alias("lead")).select("key", F.col("lead.node").alias("leader"), F.col("lead.th").alias("leader_th"))
@@ -237,9 +257,9 @@ def classes(docs: DataFrame) -> DataFrame:
     links = written(with_texts(dealt.unionByName(heads)).groupBy("leader", "part").applyInArrow(star_links, "a binary, b binary"), "links")
 
     comp = components(links)
-    placed = members.join(comp, "node", "left").select("key", "node", "th", "size", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comp, "node", "left").select("key", "node", "th", "size", "words", F.coalesce("comp", "node").alias("comp"))
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = placed.join(mixed_keys, "key").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int"))
+    open_rows = placed.join(mixed_keys, "key").withColumn("tiles", F.ceil(F.greatest(F.col("size") / F.lit(TILE), F.col("words") / F.lit(TILE_WORDS))).cast("int"))
     tile = F.pmod(F.xxhash64("node"), "tiles").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     tiled = open_rows.withColumn("tile", tile).withColumn("other", other)
