@@ -11,6 +11,7 @@ from tidemark.operators import advisor, lifecycle, rows
 from tidemark.operators.predicates import All, Any_, Between, Compare, In, Not, Stats, time_range
 from tidemark.plans import sqlfront
 from tidemark.sources import ingest
+from tidemark.sources.cache import ReadCache
 from tidemark.sources.catalog import HOUR, Catalog, Chunk, Conflict, Snapshot
 from tidemark.streaming.tail import Topic
 
@@ -100,6 +101,21 @@ def test_catalog_round_trip(spark, metrics, tmp_path):
     assert c.vacuum(keep_versions=1, grace_seconds=1e6) == []
 
 
+def test_rebuild_and_cache(spark, metrics, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.append(metrics, files=2)
+    c.append(metrics.withColumn("zone", F.lit("z")), files=1)
+    before = {x.path: x.rows for x in c.snapshot().chunks}
+    assert {x.path: x.rows for x in c.rebuild().chunks} == before
+    chunks = list(c.snapshot().chunks)
+    cache = ReadCache(c, limit_bytes=sum(x.bytes for x in chunks))
+    assert cache.get(chunks).where("zone = 'z'").count() == 120 and cache.get(chunks).count() == 240
+    cache.get(chunks[:1])
+    assert (cache.hits, cache.misses, len(cache.held)) == (1, 2, 1)
+    cache.clear()
+    assert c.chunk_table(chunks[0]).isidentifier()
+
+
 def test_two_writers(spark, metrics, tmp_path):
     a, b = Catalog(spark, str(tmp_path)), Catalog(spark, str(tmp_path))
     x, y = a.write(metrics, files=1), b.write(metrics, files=1)
