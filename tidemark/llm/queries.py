@@ -93,6 +93,18 @@ named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM folded LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op2_bag_minhash": r"""
+WITH RECURSIVE folded AS (SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+named AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w, CASE WHEN len(w) = 0 THEN text END) AS id, w FROM folded),
+texts AS (SELECT id, any_value(w) AS w FROM named WHERE len(w) > 0 GROUP BY id),
+grams AS (SELECT id, g, count(*) AS n FROM (SELECT id, w[i:i + least(5, len(w)) - 1] AS g FROM (SELECT id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM texts)) GROUP BY ALL),
+sizes AS (SELECT id, sum(n) AS total FROM grams GROUP BY id),
+pairs AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 5 * shared >= 4 * (x.total + y.total - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT DISTINCT id, id FROM named UNION SELECT reach.id, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id)
+SELECT doc_id, class_id FROM named JOIN classes USING (id) UNION ALL SELECT doc_id, doc_id FROM documents WHERE text IS NULL""",
     "op9_substring_dedup": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
