@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks, text_rows
+from .common import CACHED_LENGTH, chunks, text_rows
 
 #: Entries of a cache before it is emptied.
 CACHE_ENTRIES = 600_000
@@ -91,7 +91,9 @@ class Counts(dict):
     def __missing__(self, key: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        n = self[key] = self.of(key)
+        n = self.of(key)
+        if len(key) <= CACHED_LENGTH:
+            self[key] = n
         return n
 
 

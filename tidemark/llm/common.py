@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Text bytes handed to one step of a Python operator.
 CHUNK_BYTES = 4 << 20
 
+#: Longer words are not kept in caches, so that entries bound the memory.
+CACHED_LENGTH = 64
+
 #: Lower-cases A-Z, keeps 0-9 and a-z and every byte from 0x80, turns the rest into a space.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32

@@ -28,8 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, folded_words, shared_folder, text_rows, texts
-from .common import FOLD
+from .common import FOLD, chunks, folded_words, shared_folder, text_rows, texts
 from .token_files import file_system
 
 #: Item text in one automaton, in bytes; a longer item fills a block alone.

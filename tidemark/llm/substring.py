@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_rows, texts
+from .common import CACHED_LENGTH, text_rows, texts
 
 #: Entries of a worker's cache of word hashes before it is emptied.
 CACHE_ENTRIES = 600_000
@@ -48,7 +48,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = h
         return h
 
 

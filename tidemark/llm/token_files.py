@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import chunks, shared_folder, text_rows
+from .common import CACHED_LENGTH, chunks, shared_folder, text_rows
 
 #: Entries of a worker's word cache before it is emptied.
 CACHE_ENTRIES = 700_000
@@ -66,7 +66,9 @@ class WordIds(dict):
         if out is None:
             if len(self.stems) >= CACHE_ENTRIES:
                 self.stems.clear()
-            out = self.stems[text] = self.encoded(text)
+            out = self.encoded(text)
+            if len(text) <= CACHED_LENGTH:
+                self.stems[text] = out
         return out
 
     def __missing__(self, word: str) -> bytes:
@@ -77,7 +79,8 @@ class WordIds(dict):
             out = self.stem(body.lower()) + (self.stem(word[len(body) :]) if len(body) < len(word) else b"")
         else:
             out = self.encoded(word) if word else b""
-        self[word] = out
+        if len(word) <= CACHED_LENGTH:
+            self[word] = out
         return out
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import labelled
-from .common import chunks, folded_words, text_rows, texts, written
+from .common import CACHED_LENGTH, chunks, folded_words, text_rows, texts, written
 
 #: Labelled rows of each class that learning reads at most.
 PER_CLASS = 6_000
@@ -60,7 +60,9 @@ class WordScores(dict):
     def __missing__(self, word: bytes) -> float | None:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        s = self[word] = next((self.scores[t] for t in tokens(word) if t in self.scores), None)
+        s = next((self.scores[t] for t in tokens(word) if t in self.scores), None)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = s
         return s
 
     def __reduce__(self):
