@@ -40,7 +40,7 @@ def from_nanos(ns: Column) -> Column:
 
 def array_positions(a: Column, v: Column) -> Column:
     """All places of a value, from 1."""
-    return F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.element_at(a, i) == v) if a is not None else None
+    return F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.element_at(a, i) == v)
 
 
 def array_remove_first(a: Column, v: Column) -> Column:
