@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import frame
+from tables import frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

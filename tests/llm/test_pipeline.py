@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from conftest import frame
+from tables import frame
 from test_text_operators import brute_classes, brute_hits, fold
 from tidemark.llm import labelled, toxicity
 from tidemark.llm.queries import ORACLE_SQL, QUERIES

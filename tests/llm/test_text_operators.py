@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import frame
+from tables import frame
 
 from tidemark.llm import components, decontam, minhash, substring
 from tidemark.llm.common import folded_words
