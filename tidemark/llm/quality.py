@@ -5,9 +5,10 @@ Every text is cut into pieces, each piece is compressed with either dictionary,
 and the difference of the two total sizes over the text's size, calibrated by a
 logistic fit on the learning rows, is the score.  Over the text's size, not over
 the compressed sizes: text that repeats itself compresses to little with either
-dictionary and gains nothing from the good one.
+dictionary and gains nothing from the good one.  A short text is little evidence,
+so the ratio is drawn to the mean of all labelled rows by ``PRIOR_BYTES`` bytes.
 
-Defined cases: null and empty texts have no pieces and a difference of 0; if a
+Defined cases: null and empty texts have no pieces and get the mean ratio; if a
 class has no learning rows, or too little text for a dictionary, every score is
 the share of label 1 among the labelled rows, or 0; rows stay one to one,
 repeated and null doc_ids included; a null doc_id is not held out.
@@ -15,7 +16,7 @@ repeated and null doc_ids included; a null doc_id is not held out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ DICTIONARY_BYTES = 110 << 10
 #: Bytes of text compressed at a time: short enough that the dictionary matters for every part of a long text.
 PIECE = 1 << 10
 LEVEL = 3
+#: Bytes of text at the mean ratio that every text is taken to have besides its own.
+PRIOR_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -39,10 +42,15 @@ class Model:
     bad: bytes
     fit: tuple[float, float] | None
     base: float
+    mean: float = 0.0
     scale: float = 1.0
 
-    def scores(self, differences: np.ndarray) -> np.ndarray:
-        return labelled.probability(np.tanh(differences / self.scale), self.fit)
+    def ratios(self, differences: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Bounded variable of the fit: what a text far from both classes weighs has a limit."""
+        return np.tanh((differences + PRIOR_BYTES * self.mean) / (lengths + PRIOR_BYTES) / self.scale)
+
+    def scores(self, differences: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return labelled.probability(self.ratios(differences, lengths), self.fit)
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -59,11 +67,11 @@ class Sizes:
             made.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=made, level=LEVEL, write_content_size=False, write_dict_id=False))
 
-    def difference(self, text: bytes) -> float:
-        """(bad - good) / size: positive where the good dictionary serves better."""
+    def difference(self, text: bytes) -> int:
+        """bad - good in bytes: positive where the good dictionary serves better."""
         cut = pieces(text)
         good, bad = (sum(len(c.compress(p)) for p in cut) for c in self.compressors)
-        return (bad - good) / len(text) if cut else 0.0
+        return bad - good
 
 
 _SIZES: dict[tuple[bytes, bytes], Sizes] = {}
@@ -107,13 +115,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
 
     def run(batches):
         for b in chunks(batches):
-            d = [sizes(model).difference(t) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(d, pa.float64())], ["label", "x"])
+            raw = texts(b)
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([sizes(model).difference(t) for t in raw], pa.int64()), pa.array([len(t) for t in raw], pa.int64())], ["label", "d", "n"])
 
-    xy = np.array([(r.x, r.label) for r in rows.mapInArrow(run, "label int, x double").collect()]).reshape(-1, 2)
-    scale = float(np.median(np.abs(xy[:, 0]))) or 1.0  # bounds what texts far from both classes weigh in the fit
-    fit = labelled.logistic(np.tanh(xy[:, 0] / scale), xy[:, 1], labelled.class_weights(xy[:, 1], counts), ridge=1e-3)
-    return Model(model.good, model.bad, fit, base, scale)
+    got = np.array([(r.d, r.n, r.label) for r in rows.mapInArrow(run, "label int, d long, n long").collect()], float).reshape(-1, 3)
+    weight = labelled.class_weights(got[:, 2], counts)
+    ratio = got[:, 0] / np.maximum(got[:, 1], 1)
+    scaled = Model(model.good, model.bad, None, base, float(np.average(ratio, weights=weight)), float(np.median(np.abs(ratio))) or 1.0)
+    return replace(scaled, fit=labelled.logistic(scaled.ratios(got[:, 0], got[:, 1]), got[:, 2], weight, ridge=1e-3))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -124,7 +133,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if model.fit is None:
                 p = np.full(b.num_rows, model.base)
             else:
-                p = model.scores(np.array([sizes(model).difference(t) for t in texts(b)]))
+                raw = texts(b)
+                p = model.scores(np.array([sizes(model).difference(t) for t in raw], float), np.array([len(t) for t in raw], float))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, score double")
