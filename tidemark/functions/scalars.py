@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..model import floor_div, to_timestamp
+
 
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor by Euclid's steps; 92 of them reduce any pair of 64-bit numbers."""
@@ -26,7 +28,7 @@ def truncated(x: Column, digits: int = 0) -> Column:
 def date_bin(width_us: int, t: Column, origin_us: int = 0) -> Column:
     """The start of the interval of ``width_us`` microseconds, counted from the origin, that holds the time."""
     us = F.unix_micros(t.cast("timestamp")) - origin_us
-    return F.timestamp_micros((F.floor(us / F.lit(width_us)) * width_us + origin_us).cast("long"))
+    return F.timestamp_micros(floor_div(us, width_us) * width_us + origin_us)
 
 
 def day_of_week(t: Column) -> Column:
@@ -35,7 +37,7 @@ def day_of_week(t: Column) -> Column:
 
 
 def from_nanos(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / F.lit(1000)).cast("long"))
+    return to_timestamp(ns)
 
 
 def array_positions(a: Column, v: Column) -> Column:

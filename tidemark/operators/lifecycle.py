@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..model import bucket_start, label_columns, value_column
+from ..model import bucket_start, label_columns, to_timestamp, value_column
 from ..sources.catalog import HOUR, Catalog, Chunk, Snapshot
 from .rows import split_at, split_point
 
@@ -97,7 +97,7 @@ def partitioned_write(metrics: DataFrame, path: str, tenant: str = "default", fi
 
     Rows are spread by hour and a hash, so a busy hour goes to ``files_per_hour`` writers.
     """
-    at = F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000).cast("long"))
+    at = to_timestamp(F.col("timestamp_ns"))
     parts = {"tenant": F.lit(tenant), "year": F.year(at), "month": F.month(at), "day": F.dayofmonth(at), "hour": F.hour(at)}
     salt = F.pmod(F.xxhash64("timestamp_ns", "metric_name"), F.lit(files_per_hour))
     rows = metrics.withColumns(parts)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import BUCKET, bucket_start, value_column
+from ..model import BUCKET, bucket_start, floor_div, value_column
 from ..operators import advisor, lifecycle, rows
 from ..operators.predicates import All, Any_, Between, Compare, In, Not
 from ..sources import ingest
@@ -118,7 +118,7 @@ def _(s, d):
 def _(s, d):
     m = long(s, d)
     labels = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("__name__", "metric_name"), ("user_id", "user_id"), ("k", "k"))])
-    sample = F.struct(F.floor(F.col("timestamp_ns") / 1_000_000).cast("long").alias("timestamp_ms"), F.col("v").alias("value"))
+    sample = F.struct(floor_div(F.col("timestamp_ns"), 1_000_000).alias("timestamp_ms"), F.col("v").alias("value"))
     series = m.groupBy("metric_name", "user_id", "k").agg(F.collect_list(sample).alias("samples")).select(F.array(F.struct(labels.alias("labels"), "samples")).alias("series"))
     wide = ingest.widened(ingest.series_rows(series), ["user_id", "k"])
     return wide.select("timestamp_ns", "metric_name", "user_id", "k", value_column(wide).alias("value"))
