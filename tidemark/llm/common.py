@@ -36,6 +36,15 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A partition for each core at least: a table in a few row groups would leave the others idle.
+
+    Only tables smaller than the cluster move; larger ones pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set."""
     sc = spark.sparkContext

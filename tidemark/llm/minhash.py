@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, folded_words, texts, written
+from .common import chunks, folded_words, spread, texts, written
 from .components import components
 from .substring import mixed, window_hashes, word_hashes
 
@@ -232,7 +232,7 @@ def tile_links(table: pa.Table) -> pa.Table:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, th and comp, the same for all documents of a class; null for null texts."""
-    rows = written(signed(docs), "signed")
+    rows = written(signed(spread(docs)), "signed")
     nodes = rows.where("bands is not null").groupBy("node").agg(F.min("th").alias("th"), F.max("words").alias("words"), F.first("bands").alias("bands"))
     bands = nodes.select("node", "th", "words", F.explode("bands").alias("key"))
     # Buckets of two nodes at least; how often a node meets others says how central it is.

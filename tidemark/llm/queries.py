@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import avi, bpe_count, decontam, labelled, minhash, mixing, quality, sharding, substring, token_files, toxicity
-from .common import documents
+from .common import documents, spread
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(spread(documents(spark, sf_dir)), documents(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -34,19 +34,19 @@ def predictions(scores: DataFrame, folds: int, held: int) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"), learn=labelled.fold(5) != 0)
     return predictions(toxicity.passages(docs, model), 5, 0)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     model = quality.train(docs, documents(spark, sf_dir, "labels"), learn=labelled.fold(3) != 1)
     return predictions(quality.scored(docs, model), 3, 1)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe_count.token_counts(spread(documents(spark, sf_dir)), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return avi.media_digests(documents(spark, sf_dir))
+    return avi.media_digests(spread(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
