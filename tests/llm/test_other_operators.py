@@ -223,6 +223,27 @@ def test_mixing(spark, none):
     assert mix.columns == docs.columns and max(n for n in Counter(r.doc_id for r in mix.collect()).values()) <= 4
 
 
+def test_mixture_meets_the_targets(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice("aaaaaabccd"), " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(200, 1200)))) for i in range(3000)]
+    rows += [(None, "c", f"null id {i} " * 150) for i in range(400)] + [(9, "b", "same row " * 200)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    sizes, words, null_ids = Counter(), Counter(), Counter()
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    got = mixing.mixture(docs).collect()
+    for x in got:
+        words[x.source] += len(x.text.split())
+        null_ids[x.text] += x.doc_id is None
+    want = brute_targets(sizes)
+    assert any(want[s] / sizes[s] % 1 for s in want)
+    assert all(abs(words[s] / want[s] - 1) < 0.05 for s in want), {s: words[s] / want[s] for s in want}
+    rate = want["c"] / sizes["c"]
+    assert {null_ids[t] for i, s, t in rows if i is None} <= {int(rate), int(rate) + 1}
+    assert abs(sum(null_ids.values()) / 400 - rate) < 0.1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(docs.repartition(9)).collect()))
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(0)).alias("a"), mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(1)).alias("b"))

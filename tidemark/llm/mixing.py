@@ -15,8 +15,9 @@ sums over buckets of documents and running sums inside a bucket.
 
 Defined cases: null and empty texts have no words and nothing is taken of them;
 a null source is a source, the last in order; sources without words get target
-0; rows of the same doc_id count one by one; an empty table gives no rows; extra
-columns are ignored (``mixed``) or kept (``mixture``).
+0; rows of the same doc_id count one by one, those of the same text and source
+by their number; an empty table gives no rows; extra columns are ignored
+(``mixed``) or kept (``mixture``).
 """
 
 from __future__ import annotations
@@ -69,20 +70,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every document."""
+    """doc_id, source, digest of the text and size in words of every document."""
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("long").alias("size"))
+    return docs.select(*identity(), words.cast("long").alias("size"))
+
+
+def identity() -> list[Column]:
+    """What tells rows apart: doc_id, source and a digest of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("digest")]
 
 
 def positions(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with rank, source_size, target and ``start``, the words of the source before them."""
-    rows = rows.join(sources, rows.source.eqNullSafe(sources.source)).drop(sources.source)
+    rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BUCKET_DOCS)))
     rows = rows.withColumn("bucket", F.pmod(hashed(F.coalesce("doc_id", F.lit(-1))), buckets))
     held = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("rank", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return rows.join(held, ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner", "bucket", "docs")
 
@@ -112,12 +118,12 @@ def sources_of(rows: DataFrame, weights: tuple[float, ...], share: float, epochs
     return written(targets(sizes, weights, share, epochs).join(sizes.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "sources")
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
+def drawn(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: float) -> DataFrame:
+    """Rows of ``sized`` with source_size, target and taken."""
     rows = written(sized(docs), "words")
     sources = sources_of(rows, weights, share, epochs)
     placed = positions(rows, sources)
-    own = ["rank", "start", "doc_id", "size", "source_size", "target"]
+    own = ["rank", "start", "doc_id", "source", "digest", "size", "source_size", "target"]
     spans = placed.where("size > 0")
     pieces = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS))))
     times = slots(sources).groupBy("rank", "block").agg(F.count("*").alias("times"))
@@ -126,21 +132,32 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     # The planner takes the few rows that slots are exploded from for their size; they must not be broadcast.
     taken = pieces.join(times.hint("merge"), ["rank", "block"], "left").groupBy(*own).agg(F.sum(part * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     none = placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    return taken.unionByName(none).withColumn("source_size", F.col("source_size").cast("long"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
+    return drawn(docs, weights, share, epochs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2) -> DataFrame:
-    """The documents, all columns kept, as often as the mix takes them: words taken over size, rounded.
+    """The documents, all columns kept, as often as the mix takes them.
 
-    Rows of the same doc_id share one decision, that of their words together.
+    A row's copies are its words taken over its size, rounded up or down by a
+    hash of the row with chances that keep the mean, so that the words of a
+    source meet its target.  Row k of equal ones (doc_id, source and text) gets
+    the difference of the copies of the first k and of the first k - 1.
     """
-    decided = mixed(docs, weights, share, epochs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    decided = decided.select(F.struct("doc_id").alias(KEY), times.alias(TIMES)).where(F.col(TIMES) > 0)
-    keyed = docs.withColumn(KEY, F.struct(F.col("doc_id").cast("long").alias("doc_id")))
-    rows = keyed.join(decided, KEY)
+    decided = drawn(docs, weights, share, epochs).groupBy("doc_id", "source", "digest").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias(RATE))
+    decided = decided.where(F.col(RATE) > 0).select(F.struct("doc_id", "source", "digest").alias(KEY), RATE)
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "source", "text") and "map<" not in f.dataType.simpleString()]
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy(F.xxhash64(F.lit(0), *others)))
+    rows = docs.withColumn(KEY, F.struct(*identity())).withColumn(NUMBER, number).join(decided, KEY)
+    chance = hashed(F.col(KEY), F.lit("copies")) / F.lit(float(1 << 48))
+    copies = F.floor(F.col(NUMBER) * F.col(RATE) + chance) - F.floor((F.col(NUMBER) - 1) * F.col(RATE) + chance)
+    rows = rows.withColumn(TIMES, copies.cast("int")).where(F.col(TIMES) > 0)
     return rows.withColumn(TIMES, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Column names that no table uses.
-KEY, TIMES = "tidemark mixing key", "tidemark mixing times"
+KEY, TIMES, RATE, NUMBER = "tidemark mixing key", "tidemark mixing times", "tidemark mixing rate", "tidemark mixing number"
