@@ -133,6 +133,23 @@ def test_segments_are_maximal():
         assert all(abs(x - sum(s[a:b])) < 1e-9 for a, b, x in got)
 
 
+def test_passages_of_repeated_words(spark):
+    rows = labelled_rows(1, 900, insult)
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    r = random.Random(8)
+    clean = lambda n: [b"v%d" % (int(r.paretovariate(0.7)) % 3000) for _ in range(n)]
+    bad = [b"grrfoo", b"barbaz", b"quxxxed"]
+    scattered = [w for b in bad for w in (*clean(400), b)]
+    text = [*scattered, *clean(400), *bad, *bad, *clean(400)]
+    p, found = toxicity.score_of(text, model)
+    at = len(scattered) + 400
+    assert any(lo <= at and at + 6 <= hi and hi - lo < 100 for lo, hi, _ in found)
+    again = toxicity.score_of([*text, *bad, *bad], model)[0]
+    assert again <= p  # repetition adds passages, not score
+    assert toxicity.reject(table, model).count() == toxicity.passages(table, model).where("score < 0.5").count()
+
+
 def shout(r, w):
     return [x.upper() + r.choice(["!!", "&&&", "$$"]) for x in w]
 

@@ -4,13 +4,16 @@ Learning counts tokens of a bounded labelled sample by class: each distinct word
 of a text and the word's prefixes, once a text and word, so that a text that
 repeats a word cannot make it count.  A token's score is its log-odds ratio
 between the classes under an informative Dirichlet prior, kept where it is
-significant.  A word takes the score of the longest token that fits it, at its
-first place in a text, less a drift that makes clean text cost.  A linear scan
-finds every maximal-scoring segment of a text.  Segment scores
-follow an extreme-value law in clean text, so lambda comes from the clean
-score distribution and K from the sample's clean documents; the normalised
-scores of a document's segments are summed, and a logistic fit on the
-learning rows turns the sum into a probability.
+significant.  A word takes the score of the longest token that fits it, at
+every place, less a drift that makes clean text cost.  A linear scan finds
+every maximal-scoring segment of a text: these are its passages.  Segment
+scores follow an extreme-value law in clean text, so lambda comes from the
+clean score distribution and K from the sample's clean documents.
+
+A document's score must not grow with mere repetition, so it comes from a
+second scan in which a word counts at its first place only: the normalised
+scores of these segments are summed, and a logistic fit on the learning rows
+turns the sum into a probability.  Each scan has a K of its own.
 
 Defined cases: null and empty texts and texts without known toxic words have no
 segment and get the score of an empty sum; without labels of both classes every
@@ -74,26 +77,37 @@ class Model:
     scores: WordScores
     lam: float
     log_k: float
+    log_k_passages: float
     fit: tuple[float, float] | None
     base: float
 
 
+def known(words: list[bytes], scores: WordScores) -> list[tuple[int, float]]:
+    """Places and scores of the known words."""
+    return [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s is not None]
+
+
+def firsts(words: list[bytes], places: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The places at which a word stands for the first time."""
+    return sorted({words[i]: (i, s) for i, s in reversed(places)}.values())
+
+
 def segments(words: list[bytes], scores: WordScores, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """(from, to, score) of all maximal-scoring segments, left to right; ``to`` is exclusive.
+    """(from, to, score) of all maximal-scoring segments, left to right; ``to`` is exclusive."""
+    return scan(known(words, scores), drift)
+
+
+def scan(places: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
+    """Maximal-scoring segments of a text that has scores at these places only.
 
     Every segment starts and ends at a word of positive score, so the scan
     visits known words only and charges the words between them as one step.
     """
-    known, seen = [], set()
-    for i, s in enumerate(map(scores.__getitem__, words)):
-        if s is not None and words[i] not in seen:
-            seen.add(words[i])
-            known.append((i, s))
     # Candidates as (from, to, total before, total after).  A candidate joins an earlier one
     # whose total before is less, if the total after has not been reached there.
     found: list[tuple[int, int, float, float]] = []
     total, last = 0.0, 0
-    for i, s in known:
+    for i, s in places:
         before = total - drift * (i - last)
         total, last = before + s - drift, i + 1
         if s <= drift:
@@ -130,6 +144,12 @@ def chance_level(n: int, log_k: float) -> float:
     return max(0.0, log_k + float(np.log(n)))
 
 
+def chance_constant(n: np.ndarray, top: np.ndarray, lam: float) -> float:
+    """log K from the lengths and best segments of clean texts."""
+    k = len(n) / max(1e-300, float((n * np.exp(np.clip(-lam * top, -700, 0))).sum())) if len(n) else 1.0
+    return float(np.log(k))
+
+
 def normalised(found: list[tuple[int, int, float]], n: int, lam: float, log_k: float) -> float:
     """Sum of the significant segments' scores above chance; the best one if none is significant; without segments, a score of 0."""
     if not n:
@@ -144,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     rows, counts = labelled.sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class)
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     if not (counts.get(0) and counts.get(1)):
-        return Model(WordScores({}), 1.0, 0.0, None, base)
+        return Model(WordScores({}), 1.0, 0.0, 0.0, None, base)
 
     def count(batches):
         for b in chunks(batches, 32 << 20):
@@ -161,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     n = totals.where("token = ''").first()
     n0, n1 = (n.clean, n.toxic) if n else (0, 0)
     if not n0 or not n1:
-        return Model(WordScores({}), 1.0, 0.0, None, base)
+        return Model(WordScores({}), 1.0, 0.0, 0.0, None, base)
     prior = PRIOR * (n0 + n1)
     a = F.lit(PRIOR) * (F.col("clean") + F.col("toxic"))
     odds = lambda y, m: F.log((F.col(y) + a) / (F.lit(m + prior) - F.col(y) - a))
@@ -177,31 +197,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     def best(batches):
         for b in chunks(batches):
             words = [folded_words(t) for t in texts(b)]
-            top = [max((x for _, _, x in segments(w, scores)), default=0.0) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([len(w) for w in words], pa.int64()), pa.array(top)], ["label", "n", "top"])
+            places = [known(w, scores) for w in words]
+            top = [max((x for _, _, x in scan(firsts(w, p))), default=0.0) for w, p in zip(words, places)]
+            top_passage = [max((x for _, _, x in scan(p)), default=0.0) for p in places]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([len(w) for w in words], pa.int64()), pa.array(top), pa.array(top_passage)], ["label", "n", "top", "top_passage"])
 
-    clean = np.array([(r.n, r.top) for r in rows.where("label = 0").mapInArrow(best, "label int, n long, top double").where("n > 0").collect()]).reshape(-1, 2)
-    k = len(clean) / max(1e-300, float((clean[:, 0] * np.exp(np.clip(-lam * clean[:, 1], -700, 0))).sum())) if len(clean) else 1.0
-    log_k = float(np.log(k))
+    clean = np.array([(r.n, r.top, r.top_passage) for r in rows.where("label = 0").mapInArrow(best, "label int, n long, top double, top_passage double").where("n > 0").collect()]).reshape(-1, 3)
+    log_k, log_k_passages = (chance_constant(clean[:, 0], clean[:, c], lam) for c in (1, 2))
 
     def sums(batches):
         for b in chunks(batches):
             words = [folded_words(t) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([float(normalised(segments(w, scores), len(w), lam, log_k)) for w in words], pa.float64())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([float(normalised(scan(firsts(w, known(w, scores))), len(w), lam, log_k)) for w in words], pa.float64())], ["label", "x"])
 
     xy = np.array([(r.x, r.label) for r in rows.mapInArrow(sums, "label int, x double").collect()]).reshape(-1, 2)
     fit = labelled.logistic(xy[:, 0], xy[:, 1], labelled.class_weights(xy[:, 1], counts))
-    return Model(scores, lam, log_k, fit, base)
+    return Model(scores, lam, log_k, log_k_passages, fit, base)
+
+
+def probability_of(words: list[bytes], places: list[tuple[int, float]], model: Model) -> float:
+    """Probability of toxicity of a text whose known words stand at these places."""
+    if model.fit is None:
+        return model.base
+    x = normalised(scan(firsts(words, places)), len(words), model.lam, model.log_k)
+    return float(labelled.probability(np.array(x), model.fit))
 
 
 def score_of(words: list[bytes], model: Model) -> tuple[float, list[tuple[int, int, float]]]:
     """Probability of toxicity and the significant segments of a text."""
+    places = known(words, model.scores)
+    p = probability_of(words, places, model)
     if model.fit is None:
-        return model.base, []
-    found = segments(words, model.scores)
-    n = len(words)
-    p = float(labelled.probability(np.array(normalised(found, n, model.lam, model.log_k)), model.fit))
-    return p, [x for x in found if model.lam * x[2] > chance_level(n, model.log_k)]
+        return p, []
+    return p, [x for x in scan(places) if model.lam * x[2] > chance_level(len(words), model.log_k_passages)]
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -222,6 +250,6 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches):
         for b in chunks(batches):
-            yield b.filter(pa.array([score_of(folded_words(t), model)[0] < threshold for t in texts(b)], pa.bool_()))
+            yield b.filter(pa.array([probability_of(w, known(w, model.scores), model) < threshold for w in map(folded_words, texts(b))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
