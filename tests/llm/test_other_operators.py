@@ -193,6 +193,15 @@ def test_shards(spark, rows, docs, none):
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard(frame(spark, small, True).repartition(7), 4).collect()))
 
 
+def test_sharded_keeps_the_records(spark, docs, tmp_path):
+    want = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, 4).collect())
+    rows = sharding.sharded(docs, 4, str(tmp_path / "shards"))
+    got = rows.collect()
+    assert Counter((r.record.doc_id, len((r.record.text or "").encode()) + 1, zlib.crc32((r.record.text or "").encode()), r.shard, r.slot) for r in got) == want
+    assert rows.select("record.*").exceptAll(docs).count() == 0
+    assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {f"shard={r.shard}" for r in got}
+
+
 def test_shards_of_copies(spark):
     r = random.Random(3)
     rows = [(i, "copy of one text " * 5) for i in range(1500)] + [(5000 + i, f"text {r.random()} " * r.randrange(1, 9)) for i in range(3000)]

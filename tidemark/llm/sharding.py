@@ -65,7 +65,7 @@ def range_of(key: Column, bounds: list[int]) -> Column:
 
 
 def assigned(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows (doc_id, size, text_crc32, key) with shard and slot."""
+    """Rows (doc_id, size, text_crc32, key, others kept) with shard and slot."""
     rows = written(rows, "sizes")
     sizes = rows.groupBy("key").agg(F.sum("size").alias("size"))
     total = rows.agg(F.sum("size").alias("n")).first().n or 0
@@ -96,9 +96,10 @@ def assigned(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("number", number).join(written(pieces, "pieces"), ["range", "part"]).withColumn("slot", F.col("base") + F.col("number") - 1)
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *keep: Column) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
@@ -109,3 +110,16 @@ def sized(docs: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every document."""
     return assigned(sized(docs), shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, shards: int = 16, path: str | None = None) -> DataFrame:
+    """The documents, all columns kept, as ``record`` with shard and slot; the texts move into the ranges.
+
+    With a path, the shards are written there as Parquet, a folder ``shard=k`` for each, and read again.
+    """
+    rows = assigned(sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")), shards)
+    rows = rows.select("record", "shard", F.col("slot").cast("long").alias("slot"))
+    if path is None:
+        return rows
+    rows.write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
