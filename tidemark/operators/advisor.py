@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +17,7 @@ USEFUL, CHECK_HOURS, UNUSED_DAYS = 100, 48, 30
 HOT = {"writes_per_second": 50_000, "mean_bytes": 500 << 20, "cpu": 0.75, "latency_ms": 100.0}
 SUSTAINED_SECONDS = 60
 REBALANCE = 0.2
+VIRTUAL_NODES = 100
 
 
 def usage(log: DataFrame) -> DataFrame:
@@ -115,3 +119,33 @@ class Assignment:
     def place(self) -> tuple[str, Assignment]:
         name = min(self.nodes, key=lambda n: (n[1], n[0]))[0]
         return name, replace(self, nodes=tuple((n, k + (n == name)) for n, k in self.nodes))
+
+
+def least_loaded(loads: dict[str, float]) -> str:
+    """The node of least load, ties to the least name."""
+    return min(loads, key=lambda n: (loads[n], n))
+
+
+@dataclass(frozen=True)
+class HashRing:
+    """Consistent hashing: a shard belongs to the first point at or after its hash, each node has several points."""
+
+    nodes: tuple[str, ...]
+    points: int = VIRTUAL_NODES
+
+    @staticmethod
+    def place_of(name: str) -> int:
+        return int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
+
+    @cached_property
+    def ring(self) -> list[tuple[int, str]]:
+        return sorted((self.place_of(f"{n}:{i}"), n) for n in set(self.nodes) for i in range(self.points))
+
+    def node_of(self, shard: str) -> str | None:
+        if not self.ring:
+            return None
+        return self.ring[bisect_left(self.ring, (self.place_of(shard), "")) % len(self.ring)][1]
+
+    def moves(self, assigned: dict[str, str]) -> list[tuple[str, str, str]]:
+        """(shard, old node, new node) of the shards that this ring gives to another node."""
+        return [(s, old, new) for s, old in sorted(assigned.items()) if (new := self.node_of(s)) is not None and new != old]
