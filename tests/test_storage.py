@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.model import SECOND
 from tidemark.operators import advisor, lifecycle, rows
 from tidemark.operators.predicates import All, Any_, Between, Compare, In, Not, Stats, time_range
-from tidemark.plans import sqlfront
+from tidemark.plans import promql, sqlfront
 from tidemark.sources import ingest
 from tidemark.sources.cache import ReadCache
 from tidemark.sources.catalog import HOUR, Catalog, Chunk, Conflict, Snapshot
@@ -134,6 +134,109 @@ def test_split_and_partitions(spark, metrics, tmp_path):
     assert lifecycle.downsampled(metrics).agg(F.sum("samples")).first()[0] == 120
 
 
+def shards_of(catalog):
+    out = {}
+    for c in catalog.snapshot().chunks:
+        out[c.shard, c.level] = out.get((c.shard, c.level), 0) + c.rows
+    return out
+
+
+def test_rewrites_keep_rows_shards_and_levels(spark, metrics, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    timeless = metrics.limit(5).withColumn("timestamp_ns", F.lit(None).cast("long"))
+    stats = ("metric_name", "value_f64")
+    c.append(metrics.unionByName(timeless), shard="A", files=2, stats=stats)
+    c.append(timeless, shard="A", files=1, stats=stats)
+    c.append(metrics, shard="B", files=2, stats=stats)
+    assert sum(x.timeless for x in c.snapshot().chunks) == 10 and c.read().count() == 250
+    assert c.read(low=BASE).count() == 240 and c.read(Between("timestamp_ns", BASE, BASE)).count() == 2
+    with pytest.raises(ValueError):
+        lifecycle.compact(c, list(c.snapshot().chunks))
+    lifecycle.compact(c, [x for x in c.snapshot().chunks if x.shard == "A"])
+    assert shards_of(c) == {("A", 1): 130, ("B", 0): 120}
+    lifecycle.retain(c, BASE + 100 * SECOND)
+    assert shards_of(c) == {("A", 1): 30, ("B", 0): 20} and c.read().where("timestamp_ns IS NULL").count() == 10
+    lifecycle.split_shard(c, "A", "l", "r", BASE + 110 * SECOND)
+    assert shards_of(c) == {("l", 1): 20, ("r", 1): 10, ("B", 0): 20}
+    assert all(set(x.stats) == set(stats) for x in c.snapshot().chunks)
+    lifecycle.retain(c, BASE + 10_000 * SECOND)
+    assert c.read().count() == 10 and c.read().where("timestamp_ns IS NOT NULL").count() == 0
+    assert [r.kind for r in c.jobs().orderBy("began").collect()] == ["compact", "retain", "split", "retain"]
+    assert c.expire_jobs(2**40) == 4 and c.jobs().count() == 0
+    with pytest.raises(ValueError):
+        c.swap(list(c.snapshot().chunks), [], keeps_rows=True)
+    assert {(x.shard, x.level) for x in Catalog(spark, str(tmp_path)).rebuild().chunks} >= {("l", 1), ("B", 0)}
+
+
+def test_versions_and_writers(spark, metrics, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    chunk_ = c.write(metrics, files=1)[0]
+    for i in range(40):
+        c.register([Chunk(f"p{i}", i, i, 1)])
+    assert len(c.snapshot().chunks) == 40 and len(c.snapshot(17).chunks) == 17 and c.versions()[-1] == 40
+    assert not c.put("_catalog/v40", [{}]) and c.put("_catalog/other", [{"a": 1}]) and c.load("_catalog/other") == [{"a": 1}]
+    c.unregister({f"p{i}" for i in range(40)})
+    c.register([chunk_], metrics.schema)
+    assert c.snapshot().schema == metrics.schema
+    with pytest.raises(ValueError):
+        c.append(metrics.withColumn("host", F.lit(1)))
+    now = c.snapshot()
+    for _ in range(2):
+        c.append(metrics, writer=("w", 3))
+    assert c.read().count() == 240 and c.snapshot().version == now.version + 1
+    c.vacuum(keep_versions=1, grace_seconds=0)
+    assert len(c.versions()) == 1 and c.read().count() == 240
+
+
+def test_footers_tell_what_the_rows_do(spark, tmp_path):
+    rows_ = spark.createDataFrame([(5, "b", None, float("nan")), (None, "é", None, 2.0), (-3, None, None, 1.0)], "timestamp_ns long, metric_name string, none string, v double")
+    c = Catalog(spark, str(tmp_path))
+    (x,) = c.write(rows_.coalesce(1), stats=("metric_name", "none", "v", "nowhere"))
+    assert (x.low, x.high, x.rows, x.timeless) == (-3, 5, 3, 1)
+    assert x.stats["metric_name"] == ["b", "é", True] and x.stats["none"] == [None, None, True] and "nowhere" not in x.stats
+    assert Snapshot(1, (x,)).prune(Compare("v", ">", 100.0)) == [x] or x.stats["v"][1] == 2.0
+    assert c.write(rows_.limit(0)) == []
+
+
+def test_leases(spark, tmp_path):
+    from tidemark.sources.leases import Leases
+
+    a = Leases(Catalog(spark, str(tmp_path)), seconds=10)
+    one = a.acquire("x/1", "me", now=100)
+    assert one and a.acquire("x/1", "you", now=105) is None and a.acquire("y", "you", now=105)
+    two = a.renew(one, now=108)
+    assert two.until == 118 and a.renew(one, now=109) is None and a.acquire("x/1", "you", now=112) is None
+    assert a.finish(two, "done").state == "done" and a.finish(two, "done") is None
+    three = a.acquire("x/1", "you", now=113)
+    assert three.owner == "you" and [x.name for x in a.scavenge(now=200)] == ["x/1", "y"] and a.scavenge(now=201) == []
+    assert a.acquire("x/1", "me", now=202).number == three.number + 2
+
+
+def test_compaction_under_leases(spark, metrics, tmp_path):
+    from tidemark.sources.leases import Leases
+
+    c = Catalog(spark, str(tmp_path))
+    for _ in range(3):
+        c.append(metrics, files=1)
+    name = f"compact-{sorted(c.snapshot().chunks, key=lambda x: x.order)[0].path.rpartition('/')[2]}"
+    held = Leases(c).acquire(name, "other")
+    assert lifecycle.compact_all(c, least=3, owner="me") == 0
+    Leases(c).finish(held, "failed")
+    assert lifecycle.compact_all(c, least=3, owner="me") == 1 and Leases(c).newest(name).state == "done"
+
+
+def test_promql_prunes_chunks(spark, metrics, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    for m in ("cpu", "mem"):
+        c.append(metrics.where(F.col("metric_name") == m), files=4, stats=("metric_name", "host"))
+    q = promql.parse('cpu{host="h0"}')
+    assert len(c.snapshot().prune(promql.predicate(q), BASE, BASE + 10 * SECOND)) == 1
+    for compat in (True, False):
+        a, b = (promql.range_query(x, 'sum(cpu{host="h0"})', BASE // SECOND, BASE // SECOND + 20, 5, compat).collect() for x in (c, metrics))
+        assert sorted(map(str, a)) == sorted(map(str, b))
+        assert [r.value for r in promql.instant(c, "cpu", BASE // SECOND + 9, compat).collect()] == [r.value for r in promql.instant(metrics, "cpu", BASE // SECOND + 9, compat).collect()] or not compat
+
+
 def test_compaction_groups():
     chunks = tuple(Chunk(f"a{i}", BASE // HOUR * HOUR + i, BASE + i, 1, 10) for i in range(15)) + (Chunk("b", BASE + 5 * HOUR, BASE + 6 * HOUR, 1, 10),)
     assert [len(g) for g in lifecycle.fresh_groups(chunks)] == [15]
@@ -141,6 +244,9 @@ def test_compaction_groups():
     assert [len(g) for g in lifecycle.level_groups(chunks, 0, 40)] == [4, 4, 4, 4]
     assert [len(g) for g in lifecycle.level_groups(chunks[:5], 0, 40)] == [4]
     assert lifecycle.target_bytes(3) == 5 * lifecycle.target_bytes(2)
+    apart = tuple(Chunk(f"{s}{i}", BASE // HOUR * HOUR + i, BASE + i, 1, 10, 0, s) for i in range(9) for s in "xy")
+    assert [{c.shard for c in g} for g in lifecycle.fresh_groups(apart, 9)] == [{"x"}, {"y"}]
+    assert [(len(g), g[0].shard) for g in lifecycle.level_groups(apart, 0, 50)] == [(5, "x"), (4, "x"), (5, "y"), (4, "y")]
 
 
 def test_dedup(spark):
@@ -197,7 +303,8 @@ def test_remote_write(spark):
     body = request([("__name__", "up"), ("job", "x")], [(3.0, 1000), (-2.0, -5), (1.5, 7), (float("nan"), 8), (float("inf"), 9), (0.0, 10)]) + request([("job", "y")], [(1.0, 1)])
     assert ingest.unsnappy(snappy(body)) == body
     assert ingest.unsnappy(b"\x06\x04ab\x01\x02") == b"ababab"
-    df = spark.createDataFrame([(bytearray(snappy(body)),), (None,)], "body binary")
+    df = spark.createDataFrame([(bytearray(snappy(body)),), (None,), (bytearray(b"\xff"),), (bytearray(snappy(body)[:-3]),)], "body binary")
+    assert ingest.remote_write(df).where("error IS NOT NULL AND size(series) = 0").count() == 2
     got = ingest.widened(ingest.series_rows(ingest.remote_write(df))).collect()
     by = {(r.metric_name, r.timestamp_ns): r for r in got}
     assert len(got) == 7 and by["", 1_000_000].job == "y"
@@ -219,12 +326,35 @@ def test_otlp(spark):
     assert [r.metric_name for r in got] == ["g", "g", "g", "h", "h", "s"]
     assert [r.value_f64 for r in got[:2]] == [1.5, 7.0] and got[2].value_f64 != got[2].value_f64 and [r.value_f64 for r in got[3:]] == [9.0, 4.0, 2.5]
     assert got[0].labels == {"a": "point", "b": "3"}
-    assert ingest.otlp_json(spark.createDataFrame([(json.dumps(req),)], "body string")).count() == 6
     with pytest.raises(ValueError):
         ingest.otlp_rows(spark, [{}])
+    bodies = spark.createDataFrame([(json.dumps(req),), ("{",), ("[1]",), (None,)], "body string")
+    assert ingest.otlp(bodies).count() == 6 and ingest.otlp_decoded(bodies).where("error IS NOT NULL").count() == 2
     assert ingest.any_value({"bytesValue": b"hi"}) == "aGk="
 
 
+def test_otlp_protobuf(spark):
+    fixed = lambda n, x: varint(n << 3 | 1) + x
+    text = lambda n, x: block(n, x.encode())
+    number = lambda n, x: varint(n << 3) + varint(x)
+    pair = lambda k, v: text(1, k) + block(2, v)
+    at = fixed(3, struct.pack("<Q", 77))
+    gauge = block(5, block(1, at + fixed(4, struct.pack("<d", 1.5)) + block(7, pair("a", text(1, "point")))) + block(1, at + fixed(6, struct.pack("<q", -7))))
+    histogram = block(9, block(1, at + fixed(4, struct.pack("<Q", 2)) + fixed(5, struct.pack("<d", 9.0))) + block(1, at + fixed(4, struct.pack("<Q", 4))))
+    wide = block(10, block(1, block(1, pair("e", number(2, 1))) + at + fixed(4, struct.pack("<Q", 3))))
+    summary = block(11, block(1, at + fixed(5, struct.pack("<d", 2.5)) + block(7, pair("l", block(5, block(1, number(3, 1)) + block(1, text(1, "x")))))))
+    metrics = b"".join(block(2, text(1, n) + text(3, "unit") + body) for n, body in (("g", gauge), ("h", histogram), ("w", wide), ("s", summary)))
+    resource = block(1, block(1, pair("a", text(1, "res"))) + block(1, pair("b", number(3, (1 << 64) - 3))) + block(1, pair("m", block(6, block(1, pair("k", number(2, 0)))))))
+    body = block(1, resource + block(2, block(1, text(1, "scope")) + metrics))
+    rows_ = [(bytearray(body),), (bytearray(body[:-1]),), (None,), (bytearray(b""),)]
+    df = spark.createDataFrame(rows_, "body binary")
+    got = ingest.otlp(df).collect()
+    assert [(r.metric_name, r.value_f64) for r in got] == [("g", 1.5), ("g", -7.0), ("h", 9.0), ("h", 4.0), ("w", 3.0), ("s", 2.5)]
+    assert {r.timestamp_ns for r in got} == {77} and got[0].labels == {"a": "point", "b": "-3", "m": "{k:false}"}
+    assert got[4].labels["e"] == "true" and got[5].labels["l"] == "[1,x]"
+    assert ingest.otlp_decoded(df).where("error IS NOT NULL").count() == 1
+
+
 def test_arrow(spark):
     t = pa.table({"timestamp": pa.array([1, 2], pa.timestamp("ns", "UTC")), "metric_name": pa.array(["a", "b"]).dictionary_encode(), "value_u64": pa.array([1, 2**63], pa.uint64())})
     got = ingest.from_arrow(spark, t).orderBy("timestamp_ns").collect()
@@ -259,24 +389,3 @@ def test_advisor(spark):
     b = advisor.TokenBucket(1.0, 2.0)
     assert [b.admit(t) for t in (0, 0, 0, 1, 1)] == [True, True, False, True, False]
     assert advisor.Assignment((("b", 1), ("a", 1))).place()[0] == "a"
-
-
-def test_sql_front(spark, metrics):
-    node = sqlfront.QueryNode(spark, {"metrics": metrics})
-    assert node.query('SELECT count(*) AS n FROM metrics WHERE "metric_name" = \'cpu\'').first().n == 60
-    assert node.query("SELECT mean(value_f64) AS m, 'from metrics' AS s FROM metrics").first().s == "from metrics"
-    assert node.query("SELECT count(*) AS n FROM metrics a JOIN metrics b ON a.timestamp_ns = b.timestamp_ns").first().n == 120
-    h = node.prepare("SELECT max(value_f64) AS m FROM metrics")
-    assert node.execute(h).first().m == 119.0 and node.schema("SELECT 1 AS x").names == ["x"]
-    with pytest.raises(Exception):
-        node.prepare("SELECT nope FROM metrics")
-    assert node.counts["errors"] == 1 and node.list_columns().count() == 4
-    df = spark.sql("SELECT 1 AS i, double('NaN') AS d, TIMESTAMP '1970-01-01 00:00:01' AS t, 'a,b' AS s")
-    assert json.loads(sqlfront.result(df))["rows"] == [{"i": 1, "d": None, "t": SECOND, "s": "a,b"}]
-    assert sqlfront.result(df.select("i", "s"), "csv") == 'i,s\n1,"a,b"\n'
-    assert pa.ipc.open_stream(sqlfront.result(df, "arrow")).read_all().num_rows == 1
-    with pytest.raises(ValueError):
-        sqlfront.result(df, "xml")
-    log = sqlfront.QueryLog()
-    log.record("t", metrics.where("host = 'h1'").groupBy("metric_name").count())
-    assert ("t", "host", "filter") in log.rows and ("t", "metric_name", "group") in log.rows

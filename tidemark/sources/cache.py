@@ -26,7 +26,7 @@ class ReadCache:
             return self.held[key][0]
         self.misses += 1
         size = sum(c.bytes for c in chunks)
-        rows = self.catalog.spark.read.option("mergeSchema", True).parquet(*key)
+        rows = self.catalog.rows_of(chunks)
         if size > self.limit:
             return rows
         while self.held and sum(n for _, n in self.held.values()) + size > self.limit:

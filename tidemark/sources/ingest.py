@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..model import DEFAULT_LABELS, metric_schema
 
+#: Bytes that a byte of the block format stands for at most, about: copies of 64 bytes take 3.
+LARGEST_RATIO = 24
 SERIES = "array<struct<labels:array<struct<name:string,value:string>>,samples:array<struct<timestamp_ms:long,value:double>>>>"
 
 
@@ -50,33 +52,16 @@ def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
 
 
 def unsnappy(data: bytes) -> bytes:
-    """Snappy's block format: literals and copies of what is already out."""
-    size, at = varint(data, 0)
-    out = bytearray()
-    while at < len(data):
-        tag = data[at]
-        at += 1
-        kind = tag & 3
-        if kind == 0:
-            n = tag >> 2
-            if n >= 60:
-                width = n - 59
-                n, at = int.from_bytes(data[at : at + width], "little"), at + width
-            out += data[at : at + n + 1]
-            at += n + 1
-            continue
-        if kind == 1:
-            n, back, at = (tag >> 2 & 7) + 4, (tag >> 5) << 8 | data[at], at + 1
-        else:
-            width = 2 if kind == 2 else 4
-            n, back, at = (tag >> 2) + 1, int.from_bytes(data[at : at + width], "little"), at + width
-        if not 0 < back <= len(out):
-            raise ValueError("copy from before the start")
-        for _ in range(n):
-            out.append(out[-back])
-    if len(out) != size:
-        raise ValueError("wrong size")
-    return bytes(out)
+    """Snappy's block format."""
+    import pyarrow as pa
+
+    size, _ = varint(data, 0)
+    if size > len(data) * LARGEST_RATIO:
+        raise ValueError("a size that no such body has")
+    try:
+        return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
+    except OSError as e:
+        raise ValueError(str(e)) from None
 
 
 def decode_remote_write(body: bytes, compressed: bool = True) -> list[dict]:
@@ -100,16 +85,28 @@ def decode_remote_write(body: bytes, compressed: bool = True) -> list[dict]:
 
 
 def remote_write(payloads: DataFrame, column: str = "body") -> DataFrame:
-    """Rows (series) of a binary column of remote-write bodies, decoded in Arrow batches."""
+    """The series of each remote-write body of a binary column, and the error of a body that is none, decoded in Arrow batches.
+
+    A bad body costs its own series only.
+    """
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("labels", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("samples", pa.list_(pa.struct([("timestamp_ms", pa.int64()), ("value", pa.float64())])))]))
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([decode_remote_write(x) for x in b.column(0).to_pylist()], kind)], ["series"])
+            got = [attempted(decode_remote_write, x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], kind), pa.array([e for _, e in got], pa.string())], ["series", "error"])
+
+    return payloads.select(column).where(F.col(column).isNotNull()).mapInArrow(run, f"series {SERIES}, error string")
 
-    return payloads.select(column).where(F.col(column).isNotNull()).mapInArrow(run, f"series {SERIES}")
+
+def attempted(decode, body) -> tuple[list, str | None]:
+    """What a body decodes to, or nothing and why."""
+    try:
+        return decode(body), None
+    except (ValueError, KeyError, TypeError, IndexError, AttributeError, struct.error) as e:
+        return [], f"{type(e).__name__}: {e}"
 
 
 def routed(v: Column) -> list[Column]:
@@ -194,20 +191,76 @@ def otlp_rows(spark: SparkSession, requests: list[dict]) -> DataFrame:
     return rows.withColumnRenamed("value", "value_f64")
 
 
-def otlp_json(payloads: DataFrame, column: str = "body") -> DataFrame:
-    """As ``otlp_rows`` for a string column of OTLP/JSON bodies, decoded on the executors."""
+#: fixed values: field numbers of the export request and of what it holds, with the names of the same in JSON.
+MESSAGES: dict[str, dict[int, tuple[str, str]]] = {
+    "request": {1: ("resourceMetrics", "*resource_metrics")},
+    "resource_metrics": {1: ("resource", "resource"), 2: ("scopeMetrics", "*scope_metrics")},
+    "resource": {1: ("attributes", "*pair")},
+    "scope_metrics": {2: ("metrics", "*metric")},
+    "metric": {1: ("name", "text"), 5: ("gauge", "numbers"), 7: ("sum", "numbers"), 9: ("histogram", "histograms"), 10: ("exponentialHistogram", "wide_histograms"), 11: ("summary", "summaries")},
+    "numbers": {1: ("dataPoints", "*number")},
+    "histograms": {1: ("dataPoints", "*histogram")},
+    "wide_histograms": {1: ("dataPoints", "*wide_histogram")},
+    "summaries": {1: ("dataPoints", "*summary")},
+    "number": {3: ("timeUnixNano", "fixed"), 4: ("asDouble", "double"), 6: ("asInt", "signed"), 7: ("attributes", "*pair")},
+    "histogram": {3: ("timeUnixNano", "fixed"), 4: ("count", "fixed"), 5: ("sum", "double"), 9: ("attributes", "*pair")},
+    "wide_histogram": {1: ("attributes", "*pair"), 3: ("timeUnixNano", "fixed"), 4: ("count", "fixed"), 5: ("sum", "double")},
+    "summary": {3: ("timeUnixNano", "fixed"), 4: ("count", "fixed"), 5: ("sum", "double"), 7: ("attributes", "*pair")},
+    "pair": {1: ("key", "text"), 2: ("value", "any")},
+    "any": {1: ("stringValue", "text"), 2: ("boolValue", "flag"), 3: ("intValue", "whole"), 4: ("doubleValue", "double"), 5: ("arrayValue", "list"), 6: ("kvlistValue", "pairs"), 7: ("bytesValue", "raw")},
+    "list": {1: ("values", "*any")},
+    "pairs": {1: ("values", "*pair")},
+}
+SCALARS = {
+    "text": lambda v: v.decode(),
+    "raw": bytes,
+    "flag": bool,
+    "fixed": lambda v: int.from_bytes(v, "little"),
+    "signed": lambda v: int.from_bytes(v, "little", signed=True),
+    "double": lambda v: struct.unpack("<d", v)[0],
+    "whole": lambda v: v - (1 << 64) if v >> 63 else v,
+}
+
+
+def message(data: bytes, kind: str = "request") -> dict:
+    """An OTLP message as its JSON form; fields that points do not need are passed over."""
+    out: dict = {}
+    for number, _, value in fields(data):
+        if number not in MESSAGES[kind]:
+            continue
+        name, inner = MESSAGES[kind][number]
+        plain = inner.removeprefix("*")
+        got = SCALARS[plain](value) if plain in SCALARS else message(value, plain)
+        if inner != plain:
+            out.setdefault(name, []).append(got)
+        else:
+            out[name] = got
+    return out
+
+
+def otlp_decoded(payloads: DataFrame, column: str = "body") -> DataFrame:
+    """The points of each OTLP body, and the error of a body that is none: protobuf in a binary column, JSON in a string one."""
     import json
 
     import pyarrow as pa
 
-    kind = pa.schema([("timestamp_ns", pa.int64()), ("metric_name", pa.string()), ("value_f64", pa.float64()), ("labels", pa.map_(pa.string(), pa.string()))])
+    kind = pa.list_(pa.struct([("timestamp_ns", pa.int64()), ("metric_name", pa.string()), ("value", pa.float64()), ("labels", pa.map_(pa.string(), pa.string()))]))
+
+    def points(body: str | bytes) -> list[dict]:
+        found = otlp_points(json.loads(body) if isinstance(body, str) else message(body))
+        return [p | {"labels": list(p["labels"].items())} for p in found]
 
     def run(batches):
         for b in batches:
-            points = [p for x in b.column(0).to_pylist() for p in otlp_points(json.loads(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in points], t) for k, t in (("timestamp_ns", pa.int64()), ("metric_name", pa.string()), ("value", pa.float64()))] + [pa.array([list(p["labels"].items()) for p in points], kind.field("labels").type)], schema=kind)
+            got = [attempted(points, x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], kind), pa.array([e for _, e in got], pa.string())], ["points", "error"])
+
+    return payloads.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "points array<struct<timestamp_ns:long,metric_name:string,value:double,labels:map<string,string>>>, error string")
+
 
-    return payloads.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "timestamp_ns long, metric_name string, value_f64 double, labels map<string,string>")
+def otlp(payloads: DataFrame, column: str = "body") -> DataFrame:
+    """As ``otlp_rows`` for a column of OTLP bodies, decoded on the executors; bad bodies give no rows (``otlp_decoded`` names them)."""
+    return otlp_decoded(payloads, column).select(F.explode("points").alias("p")).select("p.timestamp_ns", "p.metric_name", F.col("p.value").alias("value_f64"), "p.labels")
 
 
 def from_arrow(spark: SparkSession, table) -> DataFrame:
