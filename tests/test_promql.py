@@ -14,6 +14,8 @@ from tidemark.plans.promql import Matcher, Query, parse
         ("  job:cpu:rate  ", Query("job:cpu:rate")),
         ('cpu{host="a",env!="b", az=~"c.*",x!~"d"}', Query("cpu", (Matcher("host", "=", "a"), Matcher("env", "!=", "b"), Matcher("az", "=~", "c.*"), Matcher("x", "!~", "d")))),
         ("cpu{}", Query("cpu")),
+        ('cpu{ a = "b" , c=~ "d,e=\\"f" }', Query("cpu", (Matcher("a", "=", "b"), Matcher("c", "=~", "d,e=\\")))),
+        ('cpu{a=="b",c!"d",e="f"}', Query("cpu", (Matcher("e", "=", "f"),))),
         ("sum(cpu)", Query("cpu", aggregate="sum")),
         ("sum by (a, b) (cpu)", Query("cpu", aggregate="sum", by=("a", "b"))),
         ("max by(a)(cpu)", Query("cpu", aggregate="max", by=("a",))),
@@ -74,6 +76,20 @@ def test_instant_series(metrics):
     assert ("a", 4.0) in got  # 1 -> 3, then a reset to 2
 
 
+def test_series_functions_depend_on_their_window_alone(spark):
+    rows = [(t * SECOND, "c", float(t // 6)) for t in range(0, 601, 60)] + [(700 * SECOND, "lonely", 1.0)]
+    c = spark.createDataFrame(rows, "timestamp_ns long, metric_name string, value_f64 double")
+    for fn in ("increase", "rate", "irate", "delta", "idelta", "deriv"):
+        at = lambda df: {r.time_bucket // SECOND: r.value for r in df.collect()}  # noqa: E731, B023
+        (instant,) = [r.value for r in promql.instant(c, f"{fn}(c[2m])", 600, compat=False).collect()]
+        for start in (0, 300, 600):
+            got = at(promql.range_query(c, f"{fn}(c[2m])", start, 600, 60, compat=False))
+            assert abs(got[600] - instant) < 1e-9, (fn, start)
+        assert 0 not in at(promql.range_query(c, f"{fn}(c[2m])", 0, 600, 60, compat=False))  # one sample has no pair
+        assert promql.instant(c, f"{fn}(lonely[2m])", 700, compat=False).count() == 0
+    assert promql.instant(c, "increase(c[2m])", 600, compat=False).first().value == 10.0
+
+
 def test_range_function_hides_aggregate(metrics):
     a = values(promql.range_query(metrics, "sum(rate(cpu[10s]))", 0, 60, 30), "time_bucket")
     assert a == values(promql.range_query(metrics, "rate(cpu[10s])", 0, 60, 30), "time_bucket")
@@ -101,6 +117,12 @@ def test_discovery(metrics):
     assert L.series(metrics, ["cpu", "mem"], compat=False).count() == 4
 
 
+def test_unknown_labels_are_null(metrics):
+    assert L.series(metrics, ['cpu{nolabel="a"}']).count() == 0 and L.series(metrics, ['cpu{nolabel!~"a"}']).count() == 3
+    assert [r[0] for r in L.label_values(metrics, "host", ['cpu{nolabel!="a"}']).collect()] == []
+    assert promql.instant(metrics, 'sum by (host) (cpu{nolabel!~"x"})').count() == 3
+
+
 def test_envelope(spark, metrics):
     assert promql.respond(lambda: 1) == {"status": "success", "data": 1}
     assert promql.respond(lambda: spark.table("no_such_table").collect())["status"] == "success"

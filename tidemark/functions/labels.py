@@ -12,11 +12,14 @@ from ..plans.promql import parse
 
 
 def matched(metrics: DataFrame, match: list[str], start: float | None = None, end: float | None = None, compat: bool = True) -> DataFrame:
-    """Rows that the selectors and the closed time range let through; ``compat`` asks for all selectors at once."""
+    """Rows that the selectors and the closed time range let through; ``compat`` asks for all selectors at once.
+
+    A label that a selector names and the table lacks is null in every row.
+    """
     conditions: list[Column] = []
     for text in match:
         q = parse(text)
-        conditions.append(reduce(and_, [F.col("metric_name") == q.metric, *(m.column() for m in q.matchers)]))
+        conditions.append(reduce(and_, [F.col("metric_name") == q.metric, *(m.column(metrics.columns) for m in q.matchers)]))
     if conditions:
         metrics = metrics.where(reduce(and_ if compat else or_, conditions))
     if start is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ..model import floor_div, to_timestamp
@@ -16,7 +18,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 def lcm(a: Column, b: Column) -> Column:
     g = gcd(a, b)
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(F.floor(a / g).cast("long") * b))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(F.call_function("div", a, g) * b))
 
 
 def truncated(x: Column, digits: int = 0) -> Column:
@@ -42,7 +44,7 @@ def from_nanos(ns: Column) -> Column:
 
 def array_positions(a: Column, v: Column) -> Column:
     """All places of a value, from 1."""
-    return F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: F.element_at(a, i) == v)
+    return F.filter(F.transform(a, lambda x, i: F.when(x.eqNullSafe(v), i + 1)), lambda p: p.isNotNull())
 
 
 def array_remove_first(a: Column, v: Column) -> Column:
@@ -60,7 +62,7 @@ def array_slice(a: Column, start: int, end: int) -> Column:
 
 
 def string_to_array(s: Column, separator: str) -> Column:
-    return F.split(s, "\\Q" + separator + "\\E")
+    return F.split(s, re.escape(separator))
 
 
 def concat_nulls(*parts: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructType
 
 from ..model import BUCKET, bucket_start, label_columns
 
@@ -110,11 +111,17 @@ def salted_join(hot: DataFrame, other: DataFrame, on: list[str], salts: int) ->
     return a.join(b, [*on, "salt_"]).drop("salt_")
 
 
-def compat_filter(column: str, op: str, value) -> Column:
-    """A live filter's comparison: null is false, floats equal within an epsilon, other types let the row pass."""
-    c = F.col(f"`{column}`")
+def compat_filter(column: str, op: str, value, schema: StructType) -> Column:
+    """A live filter's comparison: null is false, floats equal within an epsilon.
+
+    A column that the rows lack, or whose type the value does not fit, lets every row pass.
+    """
+    kind = schema[column].dataType if column in schema.names else None
+    fits = isinstance(kind, StringType) if isinstance(value, str) else isinstance(kind, BooleanType) if isinstance(value, bool) else isinstance(kind, NumericType)
+    if not fits:
+        return F.lit(True)
+    c, v = F.col(f"`{column}`"), F.lit(value)
     if isinstance(value, float) and op in ("=", "!="):
-        near = F.abs(c - F.lit(value)) < F.lit(2.220446049250313e-16)
+        near = F.abs(c - v) < F.lit(2.220446049250313e-16)
         return F.coalesce(near if op == "=" else ~near, F.lit(False))
-    v = F.lit(value)
     return F.coalesce({"=": c == v, "!=": c != v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[op], F.lit(False))
