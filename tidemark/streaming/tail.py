@@ -1,21 +1,28 @@
 """Live data: tails, topics, windows and sinks over Structured Streaming.
 
-The boundary of past and live is a catalog version or a stream's checkpoint,
-never a clock, so no row is missed or seen twice; nothing is dropped for slow
-readers.
+The boundary of past and live is a catalog version, never a clock: a tail
+delivers what versions after it have appended, so compaction, retention and
+splits send nothing again.  A batch that is written a second time after a
+failure is recognised by its stream and number and changes nothing.
+``deliver`` itself is called at least once for each batch, with the batch's
+number, by which a subscriber knows a repeated one.  Nothing is dropped for
+slow readers.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..model import bucket_start, to_timestamp
+from ..sources.catalog import Catalog
 
 
 @dataclass(frozen=True)
@@ -103,29 +110,136 @@ def last_seen(rows: DataFrame, late: str = "1 minute") -> DataFrame:
     return rows.groupBy("metric_name").applyInPandasWithState(step, "metric_name string, samples long, sum_value double, newest_ns long", "samples long, sum_value double, newest long", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(rows: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Runs all that is there into an in-memory table of the given name, and stops."""
-    writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return query
+def trigger(writer, interval: str | None):
+    """All that is there and then an end, or a batch each interval until it is stopped."""
+    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+
+
+def drain(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs all that is there into storage, a folder for each batch; the rows written.
+
+    In complete mode a batch holds the whole result, so the newest folder is read; in the
+    others all are, and in update mode the later rows of a key replace the earlier ones.
+    """
+    spark = rows.sparkSession
 
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/{batch_id}")
 
-def to_chunks(rows: DataFrame, catalog, checkpoint: str, interval: str = "5 minutes", once: bool = False) -> StreamingQuery:
-    """Appends each micro-batch to a catalog: the flush of a buffer, with offsets kept by the checkpoint."""
+    rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = sorted(int(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    if not done:
+        return spark.createDataFrame([], schema)
+    wanted = done[-1:] if mode == "complete" else done
+    return spark.read.schema(schema).parquet(*[f"{path}/rows/{n}" for n in wanted])
+
+
+def to_chunks(rows: DataFrame, catalog: Catalog, checkpoint: str, interval: str = "5 minutes", once: bool = False) -> StreamingQuery:
+    """Appends each micro-batch to a catalog: the flush of a buffer, with offsets kept by the checkpoint.
+
+    The commit holds the batch's number, so a batch that is replayed after a crash is appended once.
+    """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            catalog.append(batch)
+        catalog.append(batch, writer=(checkpoint, batch_id))
 
     writer = rows.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    return trigger(writer, None if once else interval).start()
+
+
+def appended(catalog: Catalog, after: int) -> DataFrame:
+    """A stream of the chunks (version, path) that versions after one have appended; rewrites are not among them."""
+    line = F.from_json("value", "version long, live boolean, add struct<path string>").alias("x")
+    log = catalog.spark.readStream.schema("value string").option("pathGlobFilter", "v*").text(f"{catalog.root}/_catalog").select(line)
+    return log.where((F.col("x.version") > after) & F.col("x.live") & F.col("x.add.path").isNotNull()).select("x.version", F.col("x.add.path").alias("path"))
+
+
+@dataclass
+class Subscription:
+    """A live tail and what it has sent so far."""
+
+    query: StreamingQuery
+    deliver: Callable
+    counts: dict[str, int] = field(default_factory=lambda: {"batches": 0, "delivered": 0, "filtered": 0})
+    open: bool = True
+
+    def stop(self) -> None:
+        """Ends the tail and says so."""
+        self.query.stop()
+        self.end()
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Waits for the end of a tail that takes what is there; True if it came."""
+        over = self.query.awaitTermination(seconds) if seconds is not None else (self.query.awaitTermination(), True)[1]
+        if over:
+            self.end()
+        return over
+
+    def end(self) -> None:
+        if self.open:
+            self.open = False
+            self.deliver("end", None, -1)
+
+
+def boundary(catalog: Catalog, checkpoint: str) -> tuple[int, bool]:
+    """The version where a tail's past ends, and whether it has just been set; the same at every start from its checkpoint."""
+    spark = catalog.spark
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/boundary")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        stream = fs.open(place)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))["version"], False
+        finally:
+            stream.close()
+    version = catalog.snapshot().version
+    stream = fs.create(place, False)
+    stream.write(bytearray(json.dumps({"version": version}).encode()))
+    stream.close()
+    return version, True
+
+
+def subscribe(catalog: Catalog, deliver: Callable, checkpoint: str, where: str | Column | None = None, topic: Topic = Topic(), interval: str | None = "1 second", count: bool = True) -> Subscription:
+    """Delivers the rows of a catalog's version, then what later versions append, for as long as it runs.
+
+    ``deliver(kind, rows, batch)`` gets ``data``, ``error`` and ``end``.  Without an interval the
+    tail takes what is there and ends.  Vacuum must keep versions that no tail has seen yet.
+    """
+    spark = catalog.spark
+    after, new = boundary(catalog, checkpoint)
+    if new:
+        deliver("data", live(catalog.rows_of(list(catalog.snapshot(after).chunks), catalog.snapshot(after)), where, topic), -1)
+    sub: Subscription
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r.path for r in batch.select("path").collect())
+        if not paths:
+            return
+        now = catalog.snapshot()
+        rows = spark.read.schema(now.schema).parquet(*paths)
+        wanted = live(rows, where, topic)
+        try:
+            deliver("data", wanted, batch_id)
+        except Exception as e:  # a subscriber's failure is told to it, and stops its stream
+            deliver("error", str(e), batch_id)
+            raise
+        if count:
+            n, every = wanted.count(), rows.count()
+            sub.counts = {"batches": sub.counts["batches"] + 1, "delivered": sub.counts["delivered"] + n, "filtered": sub.counts["filtered"] + every - n}
+
+    writer = appended(catalog, after).writeStream.foreachBatch(send).option("checkpointLocation", f"{checkpoint}/state")
+    sub = Subscription(None, deliver)
+    sub.query = trigger(writer, interval).start()
+    return sub
 
 
 def past_and_live(past: DataFrame, source: DataFrame, where: str | Column, deliver, checkpoint: str) -> StreamingQuery:
-    """Delivers past rows, then each micro-batch of live ones, as messages ``data``, ``error`` and ``end``.
+    """Delivers past rows, then each micro-batch that a stream has, as messages ``data``, ``error`` and ``end``; for sources without a catalog.
 
-    ``past`` is a snapshot and ``source`` a stream that starts after it.
+    ``past`` is a snapshot and ``source`` a stream that starts after it; ``subscribe`` keeps the two apart by itself.
     """
     deliver("data", past.where(where))
 
@@ -136,7 +250,7 @@ def past_and_live(past: DataFrame, source: DataFrame, where: str | Column, deliv
             deliver("error", str(e))
             raise
 
-    query = source.where(where).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = trigger(source.where(where).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint), None).start()
     query.awaitTermination()
     deliver("end", None)
     return query
