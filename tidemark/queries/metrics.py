@@ -60,11 +60,12 @@ add(
 LATEST = f"(SELECT * FROM {M} WHERE metric_name = 'view' AND timestamp_ns <= {END * NS} QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY timestamp_ns DESC, v DESC) = 1)"
 for agg, expr in {"sum": "sum(v)", "count": "CAST(count(*) AS DOUBLE)", "stddev": "stddev_pop(v)", "stdvar": "var_pop(v)"}.items():
     add(f"series_{agg}_by", lambda s, d, agg=agg: rounded(promql.instant(metrics(s, d), f"{agg} by (user_id) (view)", END, compat=False), "value"), f"SELECT user_id, round({expr}, 6) AS value FROM {LATEST} GROUP BY user_id")
-add(
-    "series_topk",
-    lambda s, d: promql.instant(metrics(s, d), "topk(5, view)", END, compat=False),
-    f"SELECT metric_name, user_id, k, v AS value FROM {LATEST} ORDER BY v DESC, user_id, k LIMIT 5",
-)
+for name, way in (("topk", "DESC"), ("bottomk", "ASC")):
+    add(
+        f"series_{name}",
+        lambda s, d, name=name: promql.instant(metrics(s, d), f"{name}(5, view)", END, compat=False),
+        f"SELECT metric_name, user_id, k, v AS value FROM {LATEST} ORDER BY v {way}, user_id, k LIMIT 5",
+    )
 
 # Range queries.
 for key, text, expr in (
@@ -92,15 +93,38 @@ add(
     lambda s, d: rounded(promql.range_query(metrics(s, d), 'sum by (user_id) (view{k=~"^[1-4]"})', START, END, STEP), "value"),
     f"SELECT {BUCKET} AS time_bucket, metric_name, k, user_id, round(sum(v), 6) AS value FROM {M} WHERE metric_name = 'view' AND regexp_matches(k, '^[1-4]') AND {SCOPE} GROUP BY ALL",
 )
-STEPS = f"""(SELECT *, CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END AS gain FROM
-  (SELECT *, lag(v) OVER (PARTITION BY user_id, k ORDER BY timestamp_ns, v) AS b FROM {M} WHERE metric_name = 'view' AND timestamp_ns > {START * NS} - {86400 * NS} AND timestamp_ns <= {END * NS}))"""
-GRID = f"(SELECT {START * NS} + i * {21600 * NS} AS time_bucket FROM range(0, {(END - START) // 21600 + 1}) t(i))"
-for fn, expr in {"increase": "sum(gain)", "rate": "sum(gain) / 86400", "delta": "max_by(v, (timestamp_ns, v)) - min_by(v, (timestamp_ns, v))"}.items():
+DAY, SIX_HOURS = 86400 * NS, 21600 * NS
+GRID = f"(SELECT {START * NS} + i * {SIX_HOURS} AS time_bucket FROM range(0, {(END - START) // 21600 + 1}) t(i))"
+#: Samples by the windows that hold them, each with the sample before it in the same window.
+IN_WINDOWS = f"""(SELECT *, lag(v) OVER w AS b, lag(timestamp_ns) OVER w AS bt, row_number() OVER (PARTITION BY time_bucket, user_id, k ORDER BY timestamp_ns DESC, v DESC) AS back,
+  count(*) OVER (PARTITION BY time_bucket, user_id, k) AS n FROM (SELECT * FROM {M} WHERE metric_name = 'view') JOIN {GRID} ON timestamp_ns > time_bucket - {DAY} AND timestamp_ns <= time_bucket
+  WINDOW w AS (PARTITION BY time_bucket, user_id, k ORDER BY timestamp_ns, v))"""
+GAIN = "CASE WHEN v < b THEN v ELSE v - b END"
+IN_SERIES = {
+    "increase": f"sum({GAIN})",
+    "rate": f"sum({GAIN}) / 86400",
+    "delta": "max_by(v, (timestamp_ns, v)) - min_by(v, (timestamp_ns, v))",
+    "idelta": "max(v - b) FILTER (WHERE back = 1)",
+    "irate": f"max(({GAIN}) / nullif((timestamp_ns - bt) / 1e9, 0)) FILTER (WHERE back = 1)",
+    "deriv": "regr_slope(v, (timestamp_ns - time_bucket) / 1e9)",
+}
+for fn, expr in IN_SERIES.items():
+    digits = 9 if fn == "deriv" else 6
     add(
         f"series_range_{fn}",
-        lambda s, d, fn=fn: rounded(promql.range_query(metrics(s, d), f"{fn}(view[1d])", START, END, 21600, compat=False), "value"),
-        f"SELECT time_bucket, metric_name, user_id, k, round({expr}, 6) AS value FROM {STEPS} JOIN {GRID} ON timestamp_ns > time_bucket - {86400 * NS} AND timestamp_ns <= time_bucket GROUP BY ALL",
+        lambda s, d, fn=fn, digits=digits: promql.range_query(metrics(s, d), f"{fn}(view[1d])", START, END, 21600, compat=False).withColumn("value", F.round("value", digits)),
+        f"SELECT time_bucket, metric_name, user_id, k, round({expr}, {digits}) AS value FROM {IN_WINDOWS} WHERE n > 1 GROUP BY ALL HAVING value IS NOT NULL",
     )
+add(
+    "series_instant_increase",
+    lambda s, d: rounded(promql.instant(metrics(s, d), "increase(view[1d])", START, compat=False), "value"),
+    f"SELECT max(timestamp_ns) AS timestamp_ns, metric_name, user_id, k, round(sum({GAIN}), 6) AS value FROM {IN_WINDOWS} WHERE n > 1 AND time_bucket = {START * NS} GROUP BY metric_name, user_id, k",
+)
+add(
+    "series_range_selector",
+    lambda s, d: promql.range_query(metrics(s, d), "view", START, END, 21600, compat=False),
+    f"SELECT time_bucket, metric_name, user_id, k, max_by(v, (timestamp_ns, v)) AS value FROM (SELECT * FROM {M} WHERE metric_name = 'view') JOIN {GRID} ON timestamp_ns > time_bucket - {300 * NS} AND timestamp_ns <= time_bucket GROUP BY ALL",
+)
 add(
     "vector_json",
     lambda s, d: promql.vector(promql.instant(metrics(s, d), "count by (user_id) (view)", END)).select(F.to_json("metric").alias("metric"), F.col("value.time").alias("time"), F.col("value.value").cast("double").alias("value")),
@@ -108,12 +132,12 @@ add(
 )
 add(
     "matrix_points",
-    lambda s, d: promql.matrix(promql.range_query(metrics(s, d), "count by (user_id) (view)", START, END, STEP)).select(F.element_at("metric", "user_id").alias("user_id"), F.size("values").cast("long").alias("points"), F.aggregate("values", F.lit(0.0), lambda a, p: a + p["value"].cast("double")).alias("total")),
-    f"SELECT user_id, count(DISTINCT {BUCKET}) AS points, CAST(count(*) AS DOUBLE) AS total FROM {M} WHERE metric_name = 'view' AND {SCOPE} GROUP BY user_id",
+    lambda s, d: promql.matrix(promql.range_query(metrics(s, d), "count by (user_id) (view)", START, END, STEP)).select(F.element_at("metric", "user_id").alias("user_id"), F.posexplode("values").alias("place", "p")).select("user_id", F.col("place").cast("long").alias("place"), "p.time", F.col("p.value").cast("double").alias("value")),
+    f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY b) - 1 AS place, b / 1e9 AS time, n AS value FROM (SELECT user_id, {BUCKET} AS b, CAST(count(*) AS DOUBLE) AS n FROM {M} WHERE metric_name = 'view' AND {SCOPE} GROUP BY 1, 2)",
 )
 
 # Discovery.
-add("label_names", lambda s, d: discovery.label_names(metrics(s, d)), "SELECT unnest(['__name__', 'k', 'user_id']) AS label")
+add("label_names", lambda s, d: discovery.label_names(metrics(s, d)), f"SELECT CASE column_name WHEN 'metric_name' THEN '__name__' ELSE column_name END AS label FROM (DESCRIBE SELECT * FROM {M}) WHERE column_name NOT IN ('timestamp_ns', 'v')")
 add("label_names_present", lambda s, d: discovery.label_names(metrics(s, d), ['purchase{user_id="42"}'], compat=False), f"SELECT unnest(['__name__', 'k', 'user_id']) AS label WHERE EXISTS (SELECT 1 FROM {M} WHERE metric_name = 'purchase' AND user_id = '42')")
 add("label_values", lambda s, d: discovery.label_values(metrics(s, d), "k"), f"SELECT DISTINCT k AS value FROM {M} WHERE k IS NOT NULL")
 add("label_values_name", lambda s, d: discovery.label_values(metrics(s, d), "__name__", compat=False), f"SELECT DISTINCT metric_name AS value FROM {M}")
@@ -123,6 +147,7 @@ add(
     lambda s, d: discovery.series(metrics(s, d), ['error{k=~"^9"}']).select(F.element_at("metric", "__name__").alias("metric_name"), F.element_at("metric", "user_id").alias("user_id"), F.element_at("metric", "k").alias("k")),
     f"SELECT DISTINCT metric_name, user_id, k FROM {M} WHERE metric_name = 'error' AND regexp_matches(k, '^9')",
 )
+add("series_unknown_label", lambda s, d: discovery.series(metrics(s, d), ['error{nowhere!~"x",user_id="3"}']).select(F.element_at("metric", "user_id").alias("user_id"), F.element_at("metric", "k").alias("k")), f"SELECT DISTINCT user_id, k FROM {M} WHERE metric_name = 'error' AND user_id = '3'")
 add(
     "series_any_match",
     lambda s, d: discovery.series(metrics(s, d), ['error{k="9"}', 'view{k="8"}'], compat=False).select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metric")))).alias("metric")),
@@ -135,6 +160,7 @@ add(
 )
 
 # Dashboards and time-series benchmarks, held to fixed times.
+# fixed values: the query texts of the dashboards.
 FROM = "TIMESTAMP_NTZ '2024-01-29 00:00:00'"
 DASHBOARDS = {
     "recent_avg": "SELECT event_type AS metric_name, round(avg(value), 6) AS avg_value FROM {events} WHERE ts > @ GROUP BY event_type ORDER BY avg_value DESC, metric_name LIMIT 25",
