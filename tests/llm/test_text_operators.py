@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tables import frame
 
 from tidemark.llm import components, decontam, minhash, substring
@@ -81,6 +83,19 @@ def test_decontaminate(spark, docs, none):
     assert decontam.contamination(none, items).count() == 0
 
 
+def test_large_benchmark(spark):
+    """20 MB of items: what occurs is found, and what does not costs lookups alone."""
+    r = random.Random(6)
+    items = spark.range(4000).select(F.col("id").alias("item_id"), F.expr("array_join(transform(sequence(1, 700), i -> concat('w', pmod(xxhash64(id, i), 50000))), ' ')").alias("text"))
+    some = items.where("item_id % 500 = 3").collect()
+    assert sum(len(x.text) for x in some) / len(some) * 4000 > 16e6
+    rows = [(i, " ".join(f"w{r.randrange(50000)}" for _ in range(300))) for i in range(300)]
+    rows += [(1000 + x.item_id, "before " + " ".join(x.text.split()[40 : 40 + 13 + k]) + " after " * 5) for k, x in enumerate(some)]
+    found = {x.doc_id: x for x in decontam.contamination(frame(spark, rows), items).collect()}
+    assert all(found[i].n_hit == 0 for i in range(300))
+    assert [(found[1000 + x.item_id].n_hit, found[1000 + x.item_id].n_items) for x in some] == [(13 + k, 1) for k in range(len(some))]
+
+
 # -- 2 ------------------------------------------------------------------------
 
 
@@ -128,8 +143,9 @@ def near_rows():
     return out
 
 
-def test_near_duplicates(spark, rows, none, monkeypatch):
-    monkeypatch.setattr(minhash, "TILE", 8)
+@pytest.mark.parametrize("tile", [3, 8, 256])
+def test_near_duplicates(spark, rows, none, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
     monkeypatch.setattr(minhash, "STAR", 4)
     every = [*rows, *near_rows()]
     got = Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(frame(spark, every, True).repartition(3)).collect())
@@ -216,6 +232,53 @@ def test_packing():
     r = np.random.default_rng(0)
     for n in (1, 2, 1000):
         x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        assert (substring.unpacked(substring.packed(x)) == x).all()
-    edge = np.array([0, 1, (1 << 64) - 1], np.uint64)
-    assert (substring.unpacked(substring.packed(edge)) == edge).all()
+        y = r.integers(0, 1 << 32, len(x)).astype(np.uint32)
+        assert all((a == b).all() for a, b in zip(substring.unpacked(substring.packed(x, y)), (x, y)))
+    edge, more = np.array([0, 1, (1 << 64) - 1], np.uint64), np.array([0, (1 << 32) - 1, 7], np.uint32)
+    assert all((a == b).all() for a, b in zip(substring.unpacked(substring.packed(edge, more)), (edge, more)))
+
+
+def test_windows_of_one_hash_stay_apart(spark, monkeypatch):
+    """With a first hash of four bits nearly all windows share one; the second still tells them apart."""
+    whole = substring.window_hashes
+    monkeypatch.setattr(substring, "window_hashes", lambda h, w, base=substring.BASE: whole(h, w, base) & np.uint64(15) if base == substring.BASE else whole(h, w, base))
+    r = random.Random(2)
+    first = r.choices(range(16), k=500)
+    order, ascending, same = substring.hash_order(np.array(first, np.uint64), second := np.array(r.choices(range(9), k=500), np.uint32))
+    pairs = list(zip(ascending.tolist(), second[order].tolist()))
+    assert pairs == sorted(zip(first, second.tolist())) and same.tolist() == [False, *(a == b for a, b in zip(pairs, pairs[1:]))]
+    rows = [(i, " ".join(f"w{r.randrange(5)}" for _ in range(40))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(substring, "even_keys", lambda spark, n: np.arange(n, dtype=np.int32))
+    table = pa.table({"raw": [t.encode() for _, t in rows]})
+    a, b, n, size = substring.part_windows(table.column("raw").to_pylist(), 4)
+    assert len(set(a.tolist())) <= 16 and n.sum() == len(a) and size.sum() == 30 * 40
+    order, _, same = substring.hash_order(a, b)
+    grams = [tuple(t.split()[i : i + 4]) for _, t in rows for i in range(37)]
+    assert (~same).sum() == len(set(grams)) and docs.count() == 30
+
+
+def test_parts_of_one_id(spark):
+    """Rows without id, a third of all, are many parts; each text's windows are removed but once."""
+    r = random.Random(4)
+    texts = [" ".join(f"u{r.randrange(10**6)}" for _ in range(60)) for _ in range(120)]
+    rows = [(None, t) for t in texts] + [(i, texts[i % 120]) for i in range(240)]
+    docs = frame(spark, rows, True)
+    got = substring.repeated(docs, 20, 3000).collect()
+    assert len(got) == 360 and all(x.n_removed == (0 if x.doc_id is None else 60) for x in got)
+    assert substring.layout(3 * 10**10, 6)[0] < 2000 and substring.layout(10**14, 4000)[0] < 500_000
+    parts, buckets = substring.layout(10**14, 4000)
+    assert parts * buckets <= 4 * 10**14 / substring.MESSAGE_BYTES
+
+
+def test_bounds_are_even(spark):
+    rows = spark.range(4000).select(F.col("id").alias("key"), F.xxhash64("id").alias("h"), F.when(F.col("id") < 100, 1000).otherwise(10).cast("long").alias("size"))
+    total = rows.agg(F.sum("size")).first()[0]
+    bounds = substring.part_bounds(rows, total, 16)
+    held = Counter()
+    for x in rows.collect():
+        held[int(np.searchsorted(bounds, substring.places(np.array([x.key]), np.array([x.h])), "right")[0])] += x.size
+    assert len(held) == 16 and max(held.values()) < 2 * total / 16
+    keys = substring.even_keys(spark, 50)
+    got = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(50)).alias("p")).collect()
+    assert [x.p for x in got] == list(range(50))
