@@ -5,14 +5,20 @@ what was read that occurs in some item.  Where that length reaches an item
 window, the words under the window are hit; spans of hits are removed, and a
 document whose hits reach the coverage limit is contaminated.
 
-The items are the small side.  They travel to the executors in blocks of at
-most ``BLOCK_BYTES`` of text; with more than one block, workers load the blocks
-one after the other for each batch of documents, so memory stays bounded
-whatever the size of the benchmark.  Documents never shuffle.
+An automaton of all items would follow the size of the benchmark, in memory
+and in the time that every worker takes to build it.  So the hashes of all item
+windows are kept once, sorted, with the items they stand in, in files of the
+shared folder (12 bytes a window) that workers map.  For each few megabytes of
+documents the hashes name the items that can occur at all, and the automaton is
+built of these, at most ``BLOCK_BYTES`` of their text at a time: a benchmark of
+any size costs its lookups and the items that do occur.  Documents never shuffle.
 
 Defined cases: null and empty texts have no words, no hits and no items; items
-without words have no window; an item without id counts under the id ``null``;
-repeated rows are judged alike; extra columns of either table are ignored.
+without words have no window; an item without id counts under the id ``null``,
+and items of the same id count as one; very long texts are read whole; repeated
+rows are judged alike, whatever their order; an empty table of documents gives
+no rows, one of items no hits; extra columns of either table, whatever their
+names, are ignored (``contamination``) or kept (``decontaminate``).
 """
 
 from __future__ import annotations
@@ -22,19 +28,23 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FOLD, chunks, folded_words, shared_folder, text_rows, texts
+from .common import FOLD, by_text, chunks, folded_words, named, shared_folder, text_rows, texts, tidied
+from .substring import GOLDEN, MASK, mixed, window_hashes, word_hashes
 from .token_files import file_system
 
-#: Item text in one automaton, in bytes; a longer item fills a block alone.
+#: Item text in one automaton, in bytes; a longer item fills one alone.
 BLOCK_BYTES = 1 << 20
 #: Bits of the table of adjacent item words that cuts documents into runs.
 TABLE_BITS = 22
+#: Bits for each item window in the table that most document windows end at.
+BITS_A_WINDOW = 16
 
 WORD = re.compile(rb"[^ ]+")
 
@@ -195,50 +205,117 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-class ItemBlocks:
-    """The benchmark in blocks of bounded size, in memory if one, else in files of the shared folder."""
+def item_windows(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of n words; windows of different lengths differ."""
+    return mixed(window_hashes(hashes, n) + np.uint64(n * int(GOLDEN) & MASK))
 
-    def __init__(self, items: DataFrame, window: int):
-        self.window, self.blocks, held, size = window, [], [], 0
-        folder = None
-        rows = text_rows(items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("null"))), "item_id")
-        for row in rows.toLocalIterator():
-            text = (row.text or "").encode()
-            if held and size + len(text) > BLOCK_BYTES:
-                folder = folder or shared_folder(items.sparkSession, "items")
-                self.blocks.append(self.store(folder, held))
-                held, size = [], 0
-            held.append((row.item_id, folded_words(text)))
-            size += len(text)
-        if held or not self.blocks:
-            self.blocks.append(self.store(folder, held) if folder else held)
 
-    def store(self, folder: str, held: list) -> str:
+class Windows:
+    """The window hashes of a benchmark in a worker: mapped where the folder is a mounted one, else read once."""
+
+    def __init__(self, folder: str):
         fs, root = file_system(folder)
+        load = lambda name, kind: np.memmap(f"{root}/{name}", kind, "r") if isinstance(fs, pafs.LocalFileSystem) else np.frombuffer(fs.open_input_file(f"{root}/{name}").readall(), kind)
+        self.hashes, self.owners, self.offsets, self.items = load("hashes", "<u8"), load("owners", "<i4"), load("offsets", "<i8"), load("items", "u1")
+        self.bits = max(16, (len(self.hashes) * BITS_A_WINDOW).bit_length())
+        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
+        at = np.asarray(self.hashes) >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are item windows, and the items that have them."""
+        at = hashes >> np.uint64(64 - self.bits)
+        some = np.flatnonzero(self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+        wanted = hashes[some]
+        lo = np.searchsorted(self.hashes, wanted)
+        real = lo < len(self.hashes)
+        real[real] = self.hashes[lo[real]] == wanted[real]
+        each = np.unique(wanted[real])
+        lo, hi = np.searchsorted(self.hashes, each), np.searchsorted(self.hashes, each, "right")
+        owners = [self.owners[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+        return some[real], np.unique(np.concatenate(owners)) if owners else np.empty(0, np.int32)
+
+    def item(self, i: int) -> tuple[str, list[bytes]]:
+        return pickle.loads(self.items[self.offsets[i] : self.offsets[i + 1]].tobytes())
+
+
+_WINDOWS: dict[str, Windows] = {}
+
+
+def windows_in(folder: str) -> Windows:
+    """One benchmark in a worker, the one at hand."""
+    if folder not in _WINDOWS:
+        _WINDOWS.clear()
+        _WINDOWS[folder] = Windows(folder)
+    return _WINDOWS[folder]
+
+
+class Benchmark:
+    """The test items: their windows in files of the shared folder, written by the driver as it reads them one by one."""
+
+    def __init__(self, items: DataFrame, window: int):
+        self.window, self.folder = window, shared_folder(items.sparkSession, "items")
+        rows = text_rows(items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("null"))), "item_id")
+        fs, root = file_system(self.folder)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(path := f"{root}/{len(self.blocks)}.pickle") as f:
-            f.write(pickle.dumps(held))
-        return f"{folder}/{path.rsplit('/', 1)[1]}"
-
-    def automata(self) -> Iterator[SuffixAutomaton]:
-        if len(self.blocks) == 1:
-            if not hasattr(self, "only"):
-                self.only = SuffixAutomaton(self.blocks[0], self.window)
-            yield self.only
-            return
-        for uri in self.blocks:
-            fs, path = file_system(uri)
-            yield SuffixAutomaton(pickle.loads(fs.open_input_file(path).readall()), self.window)
+        hashes, owners, offsets, lengths = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [0], set()
+        with fs.open_output_stream(f"{root}/items") as out:
+            for row in rows.toLocalIterator():
+                words = folded_words((row.text or "").encode())
+                n = min(window, len(words))
+                if n:
+                    lengths.add(n)
+                    hashes.append(np.unique(item_windows(word_hashes(words), n)))
+                    owners.append(np.full(len(hashes[-1]), len(offsets) - 1, np.int32))
+                    data = pickle.dumps((row.item_id, words))
+                    out.write(data)
+                    offsets.append(offsets[-1] + len(data))
+        #: Lengths of windows, a number for each item shorter than a window and for all others.
+        self.lengths = sorted(lengths)
+        every, of = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(every, kind="stable")
+        for name, values in (("hashes", every[order].astype("<u8")), ("owners", of[order].astype("<i4")), ("offsets", np.array(offsets, "<i8"))):
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                out.write(values.tobytes())
 
     def match(self, documents: list[list[bytes]]) -> dict[int, Found]:
+        """Hits of the documents that have any, by position."""
         found: dict[int, Found] = {}
-        for automaton in self.automata():
-            for d, hit in match(documents, automaton).items():
-                old = found.setdefault(d, Found([], set()))
+        if not self.lengths:
+            return found
+        known = windows_in(self.folder)
+        size = np.array([len(w) for w in documents], np.int64)
+        hashes = word_hashes(list(chain.from_iterable(documents)))
+        of = np.repeat(np.arange(len(documents)), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(hashes))  # words to the end of the document
+        some, items = set(), set()
+        for n in self.lengths:
+            starts = np.flatnonzero(left[: max(0, len(hashes) - n + 1)] >= n)
+            at, owners = known.found(item_windows(hashes, n)[starts])
+            some.update(of[starts[at]].tolist())
+            items.update(owners.tolist())
+        some = sorted(some)
+        for block in self.blocks(known, sorted(items)):
+            for d, hit in match([documents[i] for i in some], SuffixAutomaton(block, self.window)).items():
+                old = found.setdefault(some[d], Found([], set()))
                 old.spans = merged(old.spans + hit.spans)
                 old.items |= hit.items
         return found
 
+    def blocks(self, known: Windows, items: list[int]) -> Iterator[list[tuple[str, list[bytes]]]]:
+        """The items in lists of bounded size."""
+        held, size = [], 0
+        for i in items:
+            name, words = known.item(i)
+            n = sum(map(len, words)) + len(words)
+            if held and size + n > BLOCK_BYTES:
+                yield held
+                held, size = [], 0
+            held.append((name, words))
+            size += n
+        if held:
+            yield held
+
 
 def limits(hit: int, words: int, coverage: tuple[int, int]) -> bool:
     """True if the hit words reach the share coverage[0] / coverage[1] of a document."""
@@ -247,13 +324,13 @@ def limits(hit: int, words: int, coverage: tuple[int, int]) -> bool:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20)) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit word spans of every document."""
-    blocks = ItemBlocks(items, window)
+    benchmark = Benchmark(items, window)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>"
 
     def run(batches):
         for b in chunks(batches, 16 << 20):
             words = [folded_words(t) for t in texts(b)]
-            found, none = blocks.match(words), Found([], set())
+            found, none = benchmark.match(words), Found([], set())
             hits = [found.get(i, none) for i in range(len(words))]
             n = [sum(hi - lo for lo, hi in h.spans) for h in hits]
             yield pa.RecordBatch.from_arrays(
@@ -269,7 +346,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return text_rows(docs, "doc_id").mapInArrow(run, schema)
+    return text_rows(docs, "doc_id").mapInArrow(tidied(run), schema)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -283,22 +360,23 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20)) -> DataFrame:
-    """The documents, all columns kept: contaminated ones go, hit spans of the others are cut out of ``text``."""
-    blocks = ItemBlocks(items, window)
+    """The documents, all columns kept: contaminated ones go, hit spans of the others are cut out of ``text``.
 
-    def run(batches):
-        for b in chunks(batches, 16 << 20):
-            raw = texts(b)
-            words = [folded_words(t) for t in raw]
-            found = blocks.match(words)
-            if not found:
-                yield b
-                continue
-            drop = {d for d, h in found.items() if limits(sum(hi - lo for lo, hi in h.spans), len(words[d]), coverage)}
-            new = [None if d in drop else cut(t, found[d].spans) if d in found else t for d, t in enumerate(raw)]
-            at = b.schema.get_field_index("text")
-            given = b.column(at)
-            text = pa.array([None if x is None or not given[d].is_valid else x.decode() for d, x in enumerate(new)], given.type)
-            yield b.set_column(at, b.schema.field(at), text).filter(pa.array([d not in drop for d in range(len(raw))]))
-
-    return docs.mapInArrow(run, docs.schema)
+    Only the texts reach Python, and only changed ones come back.
+    """
+    benchmark = Benchmark(items, window)
+
+    def judged(raw: list[bytes]) -> pa.Array:
+        words = [folded_words(t) for t in raw]
+        found = benchmark.match(words)
+        drop = {d for d, h in found.items() if limits(sum(hi - lo for lo, hi in h.spans), len(words[d]), coverage)}
+        left = [cut(t, found[d].spans).decode() if d in found and d not in drop else None for d, t in enumerate(raw)]
+        return pa.StructArray.from_arrays([pa.array([d in drop for d in range(len(raw))], pa.bool_()), pa.array(left, pa.string())], ["drop", "left"])
+
+    rows = docs.withColumn(JUDGED, by_text(judged, "struct<drop:boolean,left:string>")(F.col("text"))).where(~F.col(f"`{JUDGED}`.drop"))
+    text = F.coalesce(F.col(f"`{JUDGED}`.left"), F.col("text").cast("string")).cast(docs.schema["text"].dataType).alias("text")
+    return rows.select(*[text if c == "text" else named(c) for c in docs.columns])
+
+
+#: A column name that no table uses.
+JUDGED = "tidemark judged"
