@@ -13,6 +13,11 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % F.lit(parts)
 
 
+def part(parts: int) -> Column:
+    """A number below ``parts`` by a hash of doc_id: the parts of the learning rows that calibrate each other."""
+    return F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(parts)).cast("int")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """Texts and labels of at most ``per_class`` rows of each class, and how many rows each class has.
 

@@ -15,10 +15,19 @@ second scan in which a word counts at its first place only: the normalised
 scores of these segments are summed, and a logistic fit on the learning rows
 turns the sum into a probability.  Each scan has a K of its own.
 
+Calibration is cross-fitted: the learning rows are dealt into ``PARTS`` by a hash
+of doc_id, tokens are counted by part, and K and the logistic fit come from each
+part's rows under the tokens of all others, so no row calibrates scores that it
+taught.  The scores themselves come from all learning rows.
+
 Defined cases: null and empty texts and texts without known toxic words have no
-segment and get the score of an empty sum; without labels of both classes every
-score is the share of label 1 among the labelled rows, or 0; rows stay one to
-one, repeated and null doc_ids included; a null doc_id is not held out.
+segment and get the score of an empty sum; very long texts are scanned whole;
+equal segment scores are all kept, and tokens of equal significance are taken
+in order of their text; without labels of both classes every score is the share
+of label 1 among the labelled rows, or 0; rows stay one to one, repeated and
+null doc_ids included; a null doc_id is not held out; an empty table gives no
+rows; extra columns, whatever their names, are ignored (``passages``) or kept
+(``reject``).
 """
 
 from __future__ import annotations
@@ -31,18 +40,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import labelled
-from .common import CACHED_LENGTH, chunks, folded_words, text_rows, texts, written
+from .common import CACHED_LENGTH, by_text, chunks, folded_words, text_rows, texts, tidied, written
 
 #: Labelled rows of each class that learning reads at most.
 PER_CLASS = 6_000
-#: Tokens of the model at most, the most significant first.
+#: Tokens of the model at most, the most significant first: the bound of what learning gathers and tasks carry.
 MAX_TOKENS = 50_000
 #: Lengths of the prefixes that are tokens, in characters, the longest first.
 PREFIXES = (8, 7, 6, 5, 4, 3)
 #: Entries of a worker's cache of word scores before it is emptied.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1 << 17
 #: Prior weight as a share of all counted words, and the least |z| of a token that counts.
 PRIOR, LEAST_Z = 0.01, 3.0
+#: Parts of the learning rows that calibrate each other.
+PARTS = 5
 #: What each word costs, so that clean text has a falling score.
 DRIFT = 0.25
 
@@ -144,9 +155,9 @@ def chance_level(n: int, log_k: float) -> float:
     return max(0.0, log_k + float(np.log(n)))
 
 
-def chance_constant(n: np.ndarray, top: np.ndarray, lam: float) -> float:
-    """log K from the lengths and best segments of clean texts."""
-    k = len(n) / max(1e-300, float((n * np.exp(np.clip(-lam * top, -700, 0))).sum())) if len(n) else 1.0
+def chance_constant(n: np.ndarray, top: np.ndarray) -> float:
+    """log K from the lengths of clean texts and their best segments, in units of 1 / lambda."""
+    k = len(n) / max(1e-300, float((n * np.exp(np.clip(-top, -700, 0))).sum())) if len(n) else 1.0
     return float(np.log(k))
 
 
@@ -162,57 +173,75 @@ def normalised(found: list[tuple[int, int, float]], n: int, lam: float, log_k: f
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, per_class: int = PER_CLASS) -> Model:
     """Learns from at most ``per_class`` labelled rows of each class."""
     rows, counts = labelled.sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class)
+    rows = rows.withColumn("part", labelled.part(PARTS))
     base = counts.get(1, 0) / max(1, sum(counts.values()))
+    none = Model(WordScores({}), 1.0, 0.0, 0.0, None, base)
     if not (counts.get(0) and counts.get(1)):
-        return Model(WordScores({}), 1.0, 0.0, 0.0, None, base)
+        return none
 
     def count(batches):
         for b in chunks(batches, 32 << 20):
-            seen = {0: Counter(), 1: Counter()}
-            for y, t in zip(b.column("label").to_pylist(), texts(b)):
+            seen = [Counter() for _ in names]
+            for y, k, t in zip(b.column("label").to_pylist(), b.column("part").to_pylist(), texts(b)):
                 words = set(folded_words(t))
-                seen[y][""] += len(words)
+                held = seen[2 * k + y]
+                held[""] += len(words)
                 for w in words:
-                    seen[y].update(tokens(w))
-            found = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([seen[y][w] for w in found], pa.int64()) for y in (0, 1))], ["token", "clean", "toxic"])
+                    held.update(tokens(w))
+            found = list(set().union(*seen))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[w] for w in found], pa.int64()) for c in seen)], ["token", *names])
+
+    names = [f"{kind}{k}" for k in range(PARTS) for kind in ("clean", "toxic")]
+    counted = rows.mapInArrow(tidied(count), ", ".join(["token string", *(f"{c} long" for c in names)]))
+    totals = written(counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in names]), "tokens-toxic")
+    column = lambda kind, but: sum((F.col(f"{kind}{k}") for k in range(PARTS) if k != but), F.lit(0)).alias(kind)
+    learnt = lambda but: log_odds(totals.select("token", column("clean", but), column("toxic", but)))
+    whole = learnt(None)
+    if whole is None:
+        return none
+    others = [learnt(k) or whole for k in range(PARTS)]  # for the rows of each part, the tokens of all others
+
+    def best(batches):
+        for b in chunks(batches):
+            words = [folded_words(t) for t in texts(b)]
+            by = [others[h] for h in b.column("part").to_pylist()]
+            places = [known(w, scores) for w, (scores, _) in zip(words, by)]
+            top = [lam * max((x for _, _, x in scan(firsts(w, p))), default=0.0) for w, p, (_, lam) in zip(words, places, by)]
+            top_passage = [lam * max((x for _, _, x in scan(p)), default=0.0) for p, (_, lam) in zip(places, by)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array(top, pa.float64()), pa.array(top_passage, pa.float64())], ["n", "top", "top_passage"])
+
+    clean = np.array([(r.n, r.top, r.top_passage) for r in rows.where("label = 0").mapInArrow(tidied(best), "n long, top double, top_passage double").where("n > 0").collect()]).reshape(-1, 3)
+    log_k, log_k_passages = (chance_constant(clean[:, 0], clean[:, c]) for c in (1, 2))
+
+    def sums_of(batches):
+        for b in chunks(batches):
+            words = [folded_words(t) for t in texts(b)]
+            by = [others[h] for h in b.column("part").to_pylist()]
+            x = [float(normalised(scan(firsts(w, known(w, scores))), len(w), lam, log_k)) for w, (scores, lam) in zip(words, by)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.float64())], ["label", "x"])
+
+    xy = np.array([(r.x, r.label) for r in rows.mapInArrow(tidied(sums_of), "label int, x double").collect()]).reshape(-1, 2)
+    fit = labelled.logistic(xy[:, 0], xy[:, 1], labelled.class_weights(xy[:, 1], counts))
+    return Model(whole[0], whole[1], log_k, log_k_passages, fit, base)
+
 
-    totals = written(rows.mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens-toxic")
+def log_odds(totals: DataFrame) -> tuple[WordScores, float] | None:
+    """Scores of the significant tokens and lambda, from counts (token, clean, toxic) whose empty token has the sums."""
     n = totals.where("token = ''").first()
     n0, n1 = (n.clean, n.toxic) if n else (0, 0)
     if not n0 or not n1:
-        return Model(WordScores({}), 1.0, 0.0, 0.0, None, base)
+        return None
     prior = PRIOR * (n0 + n1)
     a = F.lit(PRIOR) * (F.col("clean") + F.col("toxic"))
     odds = lambda y, m: F.log((F.col(y) + a) / (F.lit(m + prior) - F.col(y) - a))
     delta = odds("toxic", n1) - odds("clean", n0)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     share = (F.col("clean") + a) / F.lit(n0 + prior)
-    kept = totals.where("token <> ''").select("token", delta.alias("delta"), z.alias("z"), share.alias("share")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()
-    scores = WordScores({r.token: r.delta for r in kept})
+    seen = totals.where("token <> '' AND clean + toxic > 0")
+    kept = seen.select("token", delta.alias("delta"), z.alias("z"), share.alias("share")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()
     gains = [(r.delta - DRIFT, r.share) for r in kept if r.delta > DRIFT]
     s, p = np.array([x for x, _ in gains] + [-DRIFT]), np.array([x for _, x in gains])
-    lam = decay(s, np.append(p, max(1e-9, 1 - p.sum())) / max(1.0, p.sum()))
-
-    def best(batches):
-        for b in chunks(batches):
-            words = [folded_words(t) for t in texts(b)]
-            places = [known(w, scores) for w in words]
-            top = [max((x for _, _, x in scan(firsts(w, p))), default=0.0) for w, p in zip(words, places)]
-            top_passage = [max((x for _, _, x in scan(p)), default=0.0) for p in places]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([len(w) for w in words], pa.int64()), pa.array(top), pa.array(top_passage)], ["label", "n", "top", "top_passage"])
-
-    clean = np.array([(r.n, r.top, r.top_passage) for r in rows.where("label = 0").mapInArrow(best, "label int, n long, top double, top_passage double").where("n > 0").collect()]).reshape(-1, 3)
-    log_k, log_k_passages = (chance_constant(clean[:, 0], clean[:, c], lam) for c in (1, 2))
-
-    def sums(batches):
-        for b in chunks(batches):
-            words = [folded_words(t) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([float(normalised(scan(firsts(w, known(w, scores))), len(w), lam, log_k)) for w in words], pa.float64())], ["label", "x"])
-
-    xy = np.array([(r.x, r.label) for r in rows.mapInArrow(sums, "label int, x double").collect()]).reshape(-1, 2)
-    fit = labelled.logistic(xy[:, 0], xy[:, 1], labelled.class_weights(xy[:, 1], counts))
-    return Model(scores, lam, log_k, log_k_passages, fit, base)
+    return WordScores({r.token: r.delta for r in kept}), decay(s, np.append(p, max(1e-9, 1 - p.sum())) / max(1.0, p.sum()))
 
 
 def probability_of(words: list[bytes], places: list[tuple[int, float]], model: Model) -> float:
@@ -242,14 +271,13 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             got = [score_of(folded_words(t), model) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([p for p, _ in got]), pa.array([[dict(zip(("start", "stop", "score"), s)) for s in found] for _, found in got], kind)], ["doc_id", "score", "passages"])
 
-    return text_rows(docs, "doc_id").mapInArrow(run, schema)
+    return text_rows(docs, "doc_id").mapInArrow(tidied(run), schema)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below the threshold, all columns kept."""
+    """The documents whose score is below the threshold, all columns kept; only the texts reach Python."""
 
-    def run(batches):
-        for b in chunks(batches):
-            yield b.filter(pa.array([probability_of(w, known(w, model.scores), model) < threshold for w in map(folded_words, texts(b))], pa.bool_()))
+    def score(raw: list[bytes]) -> pa.Array:
+        return pa.array([probability_of(w, known(w, model.scores), model) for w in map(folded_words, raw)], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(by_text(score, "double")(F.col("text")) < threshold)
