@@ -11,20 +11,27 @@ the permutation being a pseudorandom one of [0, n) for each source and epoch
 
 Slots are spread by chunks and blocks by number, so a source with a third of
 all rows is no hot key; the position of a document in its source comes from
-sums over buckets of documents and running sums inside a bucket.
+sums over buckets of documents, dealt by doc_id and text, and running sums
+inside a bucket.
+
+Three results of the same draw: ``packed`` gives the blocks themselves by shard
+and slot; ``mixed`` the words that the blocks take of each document; ``mixture``
+whole documents as often as the mix takes their words, none half.
 
 Defined cases: null and empty texts have no words and nothing is taken of them;
-a null source is a source, the last in order; sources without words get target
-0; rows of the same doc_id count one by one, those of the same text and source
-by their number; an empty table gives no rows; extra columns are ignored
-(``mixed``) or kept (``mixture``).
+a very long text fills many blocks; a null source is a source, the last in
+order; sources without words get target 0; rows of the same doc_id, null ones
+included, count one by one, those of the same text and source by their number;
+ties of size are broken by doc_id, then by the text's hash; an empty table
+gives no rows; extra columns, whatever their names, are ignored (``mixed``,
+``packed``) or kept (``mixture``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import named, written
 
 #: Words in a block, output shards, documents in a bucket and slots in a chunk.
 BLOCK_WORDS, OUTPUT_SHARDS = 128, 64
@@ -69,10 +76,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs:
     return ranked.select("source", "source_size", "rank", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, digest of the text and size in words of every document."""
+def sized(docs: DataFrame, *keep: Column) -> DataFrame:
+    """doc_id, source, digest of the text and size in words of every document, and what else is to be kept."""
     words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(*identity(), words.cast("long").alias("size"))
+    return docs.select(*identity(), words.cast("long").alias("size"), *keep)
 
 
 def identity() -> list[Column]:
@@ -84,13 +91,13 @@ def positions(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with rank, source_size, target and ``start``, the words of the source before them."""
     rows = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BUCKET_DOCS)))
-    rows = rows.withColumn("bucket", F.pmod(hashed(F.coalesce("doc_id", F.lit(-1))), buckets))
+    rows = rows.withColumn("bucket", F.pmod(hashed(F.coalesce("doc_id", F.lit(-1)), F.col("digest")), buckets))
     held = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("rank", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(held, ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner", "bucket", "docs")
+    return rows.join(held, ["rank", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner", "docs")
 
 
 def slots(sources: DataFrame, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
@@ -123,7 +130,7 @@ def drawn(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: flo
     rows = written(sized(docs), "words")
     sources = sources_of(rows, weights, share, epochs)
     placed = positions(rows, sources)
-    own = ["rank", "start", "doc_id", "source", "digest", "size", "source_size", "target"]
+    own = ["rank", "bucket", "start", "doc_id", "source", "digest", "size", "source_size", "target"]
     spans = placed.where("size > 0")
     pieces = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS))))
     times = slots(sources).groupBy("rank", "block").agg(F.count("*").alias("times"))
@@ -143,21 +150,51 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2) -> DataFrame:
     """The documents, all columns kept, as often as the mix takes them.
 
-    A row's copies are its words taken over its size, rounded up or down by a
-    hash of the row with chances that keep the mean, so that the words of a
-    source meet its target.  Row k of equal ones (doc_id, source and text) gets
-    the difference of the copies of the first k and of the first k - 1.
+    A document's copies are its words taken over its size, rounded so that the sums keep up with each
+    other: in a bucket of a source, with documents in order of size, the copies of the first k are the
+    sum of their shares, rounded down from a start that a hash gives.  Neighbours are of like size, so a
+    bucket is off by less than its longest document, and the words of a source meet its target.  Row k
+    of equal ones (doc_id, source and text) gets its part of their copies.
     """
-    decided = drawn(docs, weights, share, epochs).groupBy("doc_id", "source", "digest").agg((F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).alias(RATE))
-    decided = decided.where(F.col(RATE) > 0).select(F.struct("doc_id", "source", "digest").alias(KEY), RATE)
-    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "source", "text") and "map<" not in f.dataType.simpleString()]
+    equal = drawn(docs, weights, share, epochs).groupBy("rank", "bucket", "doc_id", "source", "digest")
+    equal = equal.agg(F.max("size").alias("size"), F.count("*").alias("n"), (F.sum("taken") / F.nullif(F.max("size"), F.lit(0))).alias("share")).where("share > 0")
+    in_size = Window.partitionBy("rank", "bucket").orderBy("size", "doc_id", "digest")
+    start = hashed(F.col("rank"), F.col("bucket"), F.lit("copies")) / F.lit(float(1 << 48))
+    reached = F.floor(F.round(F.sum("share").over(in_size.rowsBetween(Window.unboundedPreceding, 0)), 9) + start)
+    equal = equal.withColumn("reached", reached).withColumn(COPIES, F.col("reached") - F.coalesce(F.lag("reached").over(in_size), F.lit(0)))
+    decided = equal.where(F.col(COPIES) > 0).select(F.struct("doc_id", "source", "digest").alias(KEY), COPIES, F.col("n").alias(EQUAL))
+    others = [named(f.name) for f in docs.schema if f.name not in ("doc_id", "source", "text") and "map<" not in f.dataType.simpleString()]
     number = F.row_number().over(Window.partitionBy(KEY).orderBy(F.xxhash64(F.lit(0), *others)))
     rows = docs.withColumn(KEY, F.struct(*identity())).withColumn(NUMBER, number).join(decided, KEY)
-    chance = hashed(F.col(KEY), F.lit("copies")) / F.lit(float(1 << 48))
-    copies = F.floor(F.col(NUMBER) * F.col(RATE) + chance) - F.floor((F.col(NUMBER) - 1) * F.col(RATE) + chance)
-    rows = rows.withColumn(TIMES, copies.cast("int")).where(F.col(TIMES) > 0)
-    return rows.withColumn(TIMES, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    upto = lambda k: F.call_function("div", k * F.col(COPIES), F.col(EQUAL))
+    rows = rows.withColumn(TIMES, (upto(F.col(NUMBER)) - upto(F.col(NUMBER) - 1)).cast("int")).where(F.col(TIMES) > 0)
+    return rows.withColumn(TIMES, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(*[named(c) for c in docs.columns])
+
+
+def packed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2, output_shards: int = OUTPUT_SHARDS) -> DataFrame:
+    """shard, slot, source, block and text (the block's words, joined by blanks): the mix itself, a row for each slot.
+
+    Documents are cut at block bounds, the pieces of a block, ``BLOCK_WORDS`` at most, meet and are
+    joined in order, and blocks and slots join by number.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = written(sized(docs, text.alias("text")), "words")
+    sources = sources_of(rows, weights, share, epochs)
+    spans = positions(rows.where("size > 0"), sources).withColumn("words", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    first = F.call_function("div", F.col("start"), F.lit(BLOCK_WORDS))
+    last = F.call_function("div", F.col("start") + F.col("size") - 1, F.lit(BLOCK_WORDS))
+
+    def piece(block: Column) -> Column:
+        at = F.greatest(F.col("start"), block * BLOCK_WORDS)
+        n = F.least(F.col("start") + F.col("size"), (block + 1) * BLOCK_WORDS) - at
+        return F.struct(block.alias("block"), at.alias("at"), F.array_join(F.slice("words", (at - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("part"))
+
+    pieces = spans.select("rank", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("rank", "p.*")
+    blocks = pieces.groupBy("rank", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), " ").alias("text"))
+    names = sources.select(F.col("rank").alias("r"), "source")
+    out = slots(sources, output_shards).hint("merge").join(blocks, ["rank", "block"])
+    return out.join(F.broadcast(names), F.col("rank") == F.col("r")).select(F.col("shard").cast("int").alias("shard"), "slot", "source", "block", "text")
 
 
 #: Column names that no table uses.
-KEY, TIMES, RATE, NUMBER = "tidemark mixing key", "tidemark mixing times", "tidemark mixing rate", "tidemark mixing number"
+KEY, TIMES, COPIES, EQUAL, NUMBER = (f"tidemark mixing {x}" for x in ("key", "times", "copies", "equal", "number"))
