@@ -3,8 +3,10 @@
 The key of a record is a hash of its text, so equal texts are neighbours in key
 order.  A sample of keys, drawn with chances in proportion to size, gives the
 quantiles that cut the key space into ranges; a record finds its range by a
-binary search of the bounds.  Ranges far above their share (a large group of
-copies, a huge record) are subdivided by a hash of the record.  Ranges, and the
+binary search of the bounds.  Ranges far above their share are subdivided: by a
+hash of the key, so that equal texts stay together, and only the records of a
+key that is by itself above the limit by a hash of the record (or, where even
+equal records are too many, one after the other).  Ranges, and the
 subdivisions of overfull ones, go to shards in key order by the sums of bytes
 before them, so that shards differ by at most about one range: the law is
 ``bytes``.
@@ -12,16 +14,18 @@ before them, so that shards differ by at most about one range: the law is
 Slots are numbered inside the pieces of a range and then shifted by the counts
 of the pieces before, so no task ever sorts a shard.
 
-Defined cases: a null text is an empty one with size 1; repeated rows are
-sharded one by one; a null doc_id is a value like any other; an empty table
-gives no rows; extra columns are ignored (``shard``) or kept (``sharded``).
+Defined cases: a null text is an empty one with size 1; a very long text is a
+range or a piece of its own; repeated rows are sharded one by one, and so are
+ties of the key, in order of doc_id; a null doc_id is a value like any other;
+an empty table gives no rows; extra columns, whatever their names, are ignored
+(``shard``) or kept inside ``record`` (``sharded``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import named, written
 
 #: Ranges a shard is made of, and sampled keys a range.
 RANGES_PER_SHARD, SAMPLES_PER_RANGE = 64, 64
@@ -64,19 +68,45 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) <= key), at + step).otherwise(at))
 
 
+def numbered(rows: DataFrame, large: Column) -> DataFrame:
+    """Rows with ``nth``, the number of a record among its equals where these are by themselves above the limit, else null.
+
+    Numbers are counted inside partitions and shifted by the counts of those before, so no task holds all equals.
+    """
+    record = ["key", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    same = written(rows.where("split_key").groupBy(*record).agg(large.alias("split_record")).where("split_record"), "records")
+    if same.isEmpty():
+        return rows.withColumn("nth", F.lit(None).cast("long"))
+    told = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-1)), "none": F.col("doc_id").isNull()}).join(F.broadcast(same), ["key", "id", "none"], "left")
+    parts = told.where("split_record").withColumn("from", F.shiftright("place", 33))
+    before = Window.partitionBy("key", "id", "none").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("key", "id", "none", "from").agg(F.count("*").alias("n"))
+    counts = counts.select("key", "id", "none", "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("key", "id", "none", "from").orderBy("place"))
+    parts = parts.withColumn("inside", inside).join(counts, ["key", "id", "none", "from"])
+    kept = [named(c) for c in rows.columns]
+    return told.where("split_record IS NULL").select(*kept, F.lit(None).cast("long").alias("nth")).unionAll(parts.select(*kept, (F.col("base") + F.col("inside")).cast("long").alias("nth")))
+
+
 def assigned(rows: DataFrame, shards: int) -> DataFrame:
     """Rows (doc_id, size, text_crc32, key, others kept) with shard and slot."""
-    rows = written(rows, "sizes")
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()), "sizes")
     sizes = rows.groupBy("key").agg(F.sum("size").alias("size"))
     total = rows.agg(F.sum("size").alias("n")).first().n or 0
     ranges = shards * RANGES_PER_SHARD
     rows = rows.withColumn("range", range_of(F.col("key"), splitters(sizes, total, ranges)))
     share = max(1.0, total / ranges)
+    # Keys, and records, that are above the limit alone: there are fewer than ranges / OVERFULL, whatever the table's size.
+    large = F.sum("size") > F.lit(OVERFULL * share)
+    split_keys = written(rows.groupBy("key").agg(large.alias("split_key")).where("split_key"), "keys")
+    rows = rows.join(F.broadcast(split_keys), "key", "left")
+    rows = numbered(rows, large)
     held = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     over = F.col("bytes") > F.lit(OVERFULL * share)
     parts = F.greatest(F.when(over, F.ceil(F.col("bytes") / F.lit(share))).otherwise(1), F.ceil(F.col("rows") / F.lit(PIECE_ROWS)))
     held = written(held.select("range", "bytes", over.alias("over"), parts.cast("int").alias("parts")), "ranges")
-    rows = rows.join(held.select("range", "parts"), "range").withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int")).drop("parts")
+    by = F.when(F.col("nth").isNotNull(), F.col("nth")).when(F.col("split_key"), F.xxhash64("doc_id", "key")).otherwise(F.xxhash64("key"))
+    rows = rows.join(held.select("range", "parts"), "range").withColumn("part", F.pmod(by, F.col("parts")).cast("int")).drop("parts", "place", "split_key", "nth")
 
     # Bytes before each range (their number is fixed), then before each piece inside its range.
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +147,7 @@ def sharded(docs: DataFrame, shards: int = 16, path: str | None = None) -> DataF
 
     With a path, the shards are written there as Parquet, a folder ``shard=k`` for each, and read again.
     """
-    rows = assigned(sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")), shards)
+    rows = assigned(sized(docs, F.struct(*[named(c) for c in docs.columns]).alias("record")), shards)
     rows = rows.select("record", "shard", F.col("slot").cast("long").alias("slot"))
     if path is None:
         return rows
