@@ -9,15 +9,21 @@ bit: frames are valid baseline JPEGs that numpy packs and unpacks in bulk.
 
 Reading: RIFF chunks and the ``idx1`` index are parsed, frames are taken by the
 index (or by walking ``movi`` if there is none) and decoded.  Frames with the
-writer's tables go the bulk way; any other baseline grey frame goes through a
-general Huffman decoder with inverse cosine transform.
+writer's tables go the bulk way; any other baseline frame, grey or colour, with
+its own Huffman tables or the standard ones, goes through a general decoder with
+inverse cosine transform, which keeps the luma.  A frame without bytes repeats
+the one before.  Progressive and arithmetic frames are not decoded.
 
 Shots: the difference of neighbouring frames' level histograms is held against
-the mean and deviation of the differences since the last cut; a frame far above
-starts a new shot, and each shot gives one timed clip.
-
-Defined cases: null and empty texts give one frame of padding; extra columns
-are ignored; equal texts give equal values.
+the mean and deviation of the differences of the shot, and at its start against
+the mean of the shot before; a frame far above starts a new shot, and each shot
+gives one timed clip.  Any frame but the first can start one.
+
+Defined cases: null and empty texts give one frame of padding; very long texts
+give many; null media give no clip, and media that cannot be read one row with
+the error; ties need no order, as rows stay one to one, with repeated and null
+doc_ids; equal texts give equal values; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +31,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, text_rows, texts
+from .common import chunks, text_rows, texts, tidied
 
 #: Blocks along a frame's side; a frame holds SIDE * SIDE bytes.
 SIDE = 24
@@ -134,6 +140,8 @@ def riff_chunks(data: bytes, lo: int, hi: int) -> Iterator[tuple[bytes, int, int
 def read_avi(data: bytes) -> tuple[float, list[bytes]]:
     """Frames a second and the video frames in order, by the index where there is one."""
     rate, movi, index = float(RATE), None, None
+    if data[:4] != b"RIFF":
+        raise ValueError("not an AVI file")
     for kind, lo, hi in riff_chunks(data, 0, len(data)):
         if kind != b"RIFFAVI ":
             raise ValueError("not an AVI file")
@@ -172,7 +180,10 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
         levels = (np.cumsum(block_codes()[1][w.reshape(len(own), -1)], axis=1, dtype=np.int16) + 128).astype(np.uint8)
         for i, x in zip(own, levels):
             out[i] = x
-    for i in set(range(len(frames))) - set(own):
+    for i in sorted(set(range(len(frames))) - set(own)):
+        if not frames[i] and i:
+            out[i] = out[i - 1]
+            continue
         pixels = decode_jpeg(frames[i])
         h, w = pixels.shape[0] // 8 * 8, pixels.shape[1] // 8 * 8
         out[i] = np.rint(pixels[:h, :w].reshape(h // 8, 8, w // 8, 8).mean((1, 3))).astype(np.uint8).ravel()
@@ -194,12 +205,44 @@ def diagonal_order() -> list[int]:
     return [c for _, _, c in cells]
 
 
+#: fixed values: the standard Huffman tables, for frames without their own: codes of each length from 1, and the
+#: symbols in order of their codes; those of AC tables that are not listed follow in ascending order.
+STANDARD = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1), bytes(range(12))),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1), bytes(range(12))),
+    0x10: ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    0x11: ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1")),
+}
+
+
+def codes_of(counts: Iterable[int], symbols: bytes) -> dict[tuple[int, int], int]:
+    """Symbols by (length, code) of a canonical Huffman table."""
+    codes, code, at = {}, 0, 0
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            codes[bits, code] = symbols[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return codes
+
+
+@lru_cache
+def standard_codes() -> dict[int, dict[tuple[int, int], int]]:
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    whole = lambda kind, listed: listed + bytes(sorted(set(every) - set(listed))) if kind & 0x10 else listed
+    return {kind: codes_of(counts, whole(kind, symbols)) for kind, (counts, symbols) in STANDARD.items()}
+
+
 def decode_jpeg(data: bytes) -> np.ndarray:
-    """Pixels of a baseline JPEG with one component."""
+    """Luma pixels of a baseline JPEG of one component or more."""
     quant: dict[int, np.ndarray] = {}
-    huff: dict[int, dict[tuple[int, int], int]] = {}
-    at, height, width, table, restart = 2, 0, 0, 0, 0
-    while at < len(data):
+    huff = dict(standard_codes())
+    at, height, width, restart = 2, 0, 0, 0
+    parts: dict[int, tuple[int, int, int]] = {}  # component: across, down, quantiser
+    scan: list[tuple[int, int, int]] = []
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    while at + 4 <= len(data) and not scan:
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -209,32 +252,38 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                 quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(np.int64)
                 body = body[1 + 64 * (1 + wide) :]
         elif marker in (0xC0, 0xC1):
-            height, width, parts = struct.unpack_from(">HHB", body, 1)
-            if parts != 1:
-                raise ValueError("only frames of one component are decoded")
-            table = body[8]
+            height, width, n = struct.unpack_from(">HHB", body, 1)
+            parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
         elif marker == 0xC4:
             while body:
-                counts, code, k, codes = body[1:17], 0, 17, {}
-                for bits, c in enumerate(counts, 1):
-                    for _ in range(c):
-                        codes[bits, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                huff[body[0]] = codes
-                body = body[k:]
+                counts = body[1:17]
+                huff[body[0]] = codes_of(counts, body[17:])
+                body = body[17 + sum(counts) :]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            dc, ac = huff[body[2] >> 4], huff[0x10 | body[2] & 15]
-            break
+            scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, 0x10 | body[2 + 2 * i] & 15) for i in range(body[0])]
         elif 0xC2 <= marker <= 0xCF:
             raise ValueError("only baseline frames are decoded")
-    rows, cols = -(-height // 8), -(-width // 8)
-    scan = data[at:]
-    bits = bytes(b for part in split_scan(scan) for b in part)
+    if not parts or not scan or any(c not in parts for c, _, _ in scan):
+        raise ValueError("a frame without a scan")
+    luma = next(iter(parts))
+    if all(c != luma for c, _, _ in scan):
+        raise ValueError("the first scan has no luma")
+    most_across, most_down = max(a for a, _, _ in parts.values()), max(d for _, d, _ in parts.values())
+    alone = len(scan) == 1  # a scan of one component has no padding blocks
+    across, down, table = parts[luma]
+    wide, high = -(-width * across // most_across), -(-height * down // most_down)
+    if alone:
+        cols, rows = -(-wide // 8), -(-high // 8)
+        units, row_units, shape = cols * rows, cols, {luma: (1, 1)}
+    else:
+        row_units, col_units = -(-width // (8 * most_across)), -(-height // (8 * most_down))
+        cols, rows, units = row_units * across, col_units * down, row_units * col_units
+        shape = {c: parts[c][:2] for c, _, _ in scan}
+    bits = b"".join(split_scan(data[at:]))
     stream = np.unpackbits(np.frombuffer(bits, np.uint8)).tolist()
-    pos, before, order = 0, 0, diagonal_order()
+    pos, before, order = 0, {c: 0 for c, _, _ in scan}, diagonal_order()
     coefficients = np.zeros((rows * cols, 64))
 
     def symbol(codes: dict[tuple[int, int], int]) -> int:
@@ -255,24 +304,34 @@ def decode_jpeg(data: bytes) -> np.ndarray:
             pos += 1
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
-    for i in range(rows * cols):
-        if restart and i and i % restart == 0:
-            pos, before = -(-pos // 8) * 8, 0
-        before += extra(symbol(dc))
-        coefficients[i, 0] = before * quant[table][0]
-        k = 1
-        while k < 64:
-            s = symbol(ac)
-            if s == 0:
-                break
-            k += s >> 4
-            if s & 15:
-                coefficients[i, order[k]] = extra(s & 15) * quant[table][k]
-            k += 1
+    try:
+        for unit in range(units):
+            if restart and unit and unit % restart == 0:
+                pos, before = -(-pos // 8) * 8, dict.fromkeys(before, 0)
+            for c, dc, ac in scan:
+                h, v = shape[c]
+                for j in range(h * v):
+                    block = np.zeros(64)
+                    before[c] += extra(symbol(huff[dc]))
+                    block[0] = before[c]
+                    k = 1
+                    while k < 64:
+                        s = symbol(huff[ac])
+                        if s == 0:
+                            break
+                        k += s >> 4
+                        if s & 15:
+                            block[k] = extra(s & 15)
+                        k += 1
+                    if c == luma:
+                        place = (unit // row_units * v + j // h) * cols + unit % row_units * h + j % h
+                        coefficients[place, order] = block * quant[table]
+    except (IndexError, KeyError):
+        raise ValueError("the scan ends early or names a table that is not there") from None
     c = cosines()
     blocks = c @ coefficients.reshape(-1, 8, 8) @ c.T + 128
     pixels = blocks.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-    return np.clip(np.rint(pixels[:height, :width]), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(pixels[:high, :wide]), 0, 255).astype(np.uint8)
 
 
 def split_scan(scan: bytes) -> list[bytes]:
@@ -302,11 +361,12 @@ def shots(diffs: list[float], blocks: int) -> list[int]:
     starts, n, mean, m2 = [0], 0, 0.0, 0.0
     for i, d in enumerate(diffs):
         deviation = (m2 / n) ** 0.5 if n else 0.0
-        if d > CUT_LEAST * blocks and d > mean + CUT_DEVIATIONS * deviation and n:
+        if d > CUT_LEAST * blocks and d > mean + CUT_DEVIATIONS * deviation:
             starts.append(i + 1)
-            n, mean, m2 = 0, 0.0, 0.0
+            n, m2 = 0, 0.0  # the mean stays until the new shot has one of its own
             continue
         n += 1
+        mean = mean if n > 1 else d
         step = d - mean
         mean += step / n
         m2 += step * (d - mean)
@@ -347,18 +407,31 @@ def encode_media(docs: DataFrame) -> DataFrame:
             media = [write_avi(encode_frames(padded(t))) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, media binary")
+    return text_rows(docs, "doc_id").mapInArrow(tidied(run), "doc_id long, media binary")
+
+
+def clips_or_error(data: bytes) -> tuple[list[tuple[float, float, int]], str | None]:
+    """The clips of a file, or none and why it cannot be read."""
+    try:
+        return clips(data), None
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        return [], f"{type(e).__name__}: {e}"
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """doc_id, clip, start_s, end_s, frames: one row for each shot of the AVI files in ``media``."""
+    """doc_id, clip, start_s, end_s, frames and error: a row for each shot of the AVI files in ``media``; for a file that cannot be read one row with the error."""
+    kinds = {"doc_id": pa.int64(), "clip": pa.int64(), "start_s": pa.float64(), "end_s": pa.float64(), "frames": pa.int64(), "error": pa.string()}
 
     def run(batches):
         for b in chunks(batches, column="media"):
-            rows = [(d, i, *c) for d, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()) if m for i, c in enumerate(clips(m))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "clip", "start_s", "end_s", "frames"), r)) for r in rows], pa.schema([("doc_id", pa.int64()), ("clip", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64())]))
+            rows = []
+            for d, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()):
+                found, error = clips_or_error(m) if m is not None else ([], None)
+                rows += [(d, i, *c, None) for i, c in enumerate(found)] + [(d, None, None, None, None, error)] * (error is not None)
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip long, start_s double, end_s double, frames long")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(tidied(run), "doc_id long, clip long, start_s double, end_s double, frames long, error string")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -377,4 +450,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", *names])
 
-    return text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return text_rows(docs, "doc_id").mapInArrow(tidied(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

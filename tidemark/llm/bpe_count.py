@@ -5,8 +5,11 @@ no identifier is ever made.  Texts are cut where the pre-tokenizer always cuts
 (before a single space, around a single line feed); the parts repeat, and their
 counts are kept in a bounded cache per worker.
 
-Defined cases: null and empty texts count 0 tokens; rows keep their doc_id as
-it is, null and repeated ones included; extra columns are ignored.
+Defined cases: null and empty texts count 0 tokens; very long texts are counted
+whole, and a text without blanks is one part; pairs of equal rank merge from the
+left; rows stay one to one and keep their doc_id as it is, null and repeated
+ones included; an empty table gives no rows; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import CACHED_LENGTH, chunks, text_rows
+from .common import CACHED_LENGTH, chunks, text_rows, tidied
 
 #: Entries of a cache before it is emptied.
 CACHE_ENTRIES = 600_000
@@ -161,4 +164,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return text_rows(docs, "doc_id").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_rows(docs, "doc_id").mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
