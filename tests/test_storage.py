@@ -269,6 +269,33 @@ def test_asof_bucketed_equals_plain(spark):
     assert all(x.v == max((t * 1.0 for t in range(5, 1000, 37) if t <= x.t), default=None) for x in a.where("k = 'a'").collect())
 
 
+def test_full_join_in_tiles(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(2)
+    left = spark.createDataFrame([(i, r.choice([1, 1, 1, 2, 3, None])) for i in range(150)] + [(7, 1), (900, 8)], "l long, a int")
+    right = spark.createDataFrame([(i, r.choice([1, 1, 3, 4, None])) for i in range(90)] + [(901, 9)], "r long, b int")
+    plain = Counter(map(tuple, left.join(right, F.expr("a = b"), "full").collect()))
+    for tile in (1, 7, 1024):
+        assert Counter(map(tuple, rows.full_join(left, right, ("a", "b"), tile).collect())) == plain
+    assert Counter(map(tuple, rows.full_join(left, right.where("false"), ("a", "b"), 7).collect())) == Counter((*x, None, None) for x in map(tuple, left.collect()))
+
+
+def test_join_full_parts_a_key(spark, tmp_path):
+    from tidemark.queries import ORACLE_SQL, QUERIES
+
+    spark.range(6000).selectExpr("id AS c_custkey", "int(id % 2) + 10 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3000).selectExpr("id AS s_suppkey", "int(id % 2) * 5 + 10 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["join_full"](spark, str(tmp_path))
+    for t in ("customer", "supplier"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").createOrReplaceTempView(t)
+    sums = ["count(1)", "count(c_custkey)", "count(s_suppkey)", "sum(xxhash64(c_custkey, s_suppkey) % 1000003)"]
+    assert got.selectExpr(*sums).first() == spark.sql(ORACLE_SQL["join_full"]).selectExpr(*sums).first()
+    places = got.select("*", F.spark_partition_id().alias("at")).where("c_custkey IS NOT NULL AND s_suppkey IS NOT NULL").select("at").distinct().count()
+    assert places > 1  # one key: 3,000 customers by 1,500 suppliers
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1,), (5,), (9,), (None,)], "timestamp_ns long")
     assert [r.side for r in rows.split_at(df, 5).collect()] == ["left", "right", "right", None]

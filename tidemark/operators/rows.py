@@ -104,6 +104,41 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high:
     return p.join(s, inside, how).drop("bucket_")
 
 
+#: Rows of a key that ``full_join`` takes from each side at a time.
+TILE = 1024
+
+
+def full_join(left: DataFrame, right: DataFrame, on: tuple[str, str], tile: int = TILE) -> DataFrame:
+    """Full outer equi-join on one column of each side (of one type); no column name may be on both sides.
+
+    Spark's full outer join makes all pairs of a key before it hands one on, in
+    one task for each key.  Here the rows of a frequent key are parted into
+    tiles by a hash of the row; each two tiles of a key meet in a place of
+    their own, as an inner merge join that hands pairs on as they come, and
+    rows whose key the other side lacks (null keys too) are added.  Tiles are
+    numbered from exact counts; only keys of more than ``tile`` rows are
+    broadcast, less than one for ``tile`` rows of the input.  Partitions are
+    set by number, since their bytes say nothing of the pairs.  Rows equal in
+    all columns stay in one tile.
+    """
+    spark, (a, b) = left.sparkSession, on
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+    def tiles(df: DataFrame, key: str, name: str) -> DataFrame:
+        counts = df.groupBy(F.col(key).alias("key_")).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias(name))
+        return F.broadcast(counts.where(f"key_ IS NOT NULL AND {name} > 1"))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull()).withColumn("key_", F.col(key)).join(tiles(left, a, "i_n"), "key_", "left").join(tiles(right, b, "j_n"), "key_", "left")
+        rows = rows.withColumn(f"{own}_", F.pmod(F.xxhash64(*df.columns), F.coalesce(f"{own}_n", F.lit(1))))
+        rows = rows.withColumn(f"{other}_", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_n", F.lit(1)) - 1)))
+        return rows.drop("i_n", "j_n").repartition(n, "key_", "i_", "j_")
+
+    pairs = dealt(left, a, "i", "j").join(dealt(right, b, "j", "i").hint("merge"), ["key_", "i_", "j_"]).select(*left.columns, *right.columns)
+    alone = left.join(right.select(b).distinct(), F.col(a) == F.col(b), "left_anti"), right.join(left.select(a).distinct(), F.col(a) == F.col(b), "left_anti")
+    return concat(pairs, *alone)
+
+
 def salted_join(hot: DataFrame, other: DataFrame, on: list[str], salts: int) -> DataFrame:
     """Inner join in which each key of ``other`` meets the key's rows of ``hot`` in ``salts`` places."""
     a = hot.withColumn("salt_", F.pmod(F.xxhash64(*[c for c in hot.columns]), F.lit(salts)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.rows import asof_join, range_join, salted_join
+from ..operators.rows import asof_join, full_join, range_join, salted_join
 from .common import Query, plain, sql, table
 
 QUERIES: dict[str, Query] = {}
@@ -106,6 +106,13 @@ for key, (ours, theirs) in APART.items():
     QUERIES[key], ORACLE_SQL[key] = sql(ours), theirs
 
 
+def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text in BOTH, whose few keys have many rows on both sides."""
+    customers = table(spark, sf_dir, "customer").where("c_nationkey < 12").select("c_custkey", "c_nationkey")
+    suppliers = table(spark, sf_dir, "supplier").where("s_nationkey > 8").select("s_suppkey", "s_nationkey")
+    return full_join(customers, suppliers, ("c_nationkey", "s_nationkey")).select("c_custkey", "s_suppkey")
+
+
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "at")
@@ -127,7 +134,7 @@ def join_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AT = "(SELECT *, epoch_us(ts) AS at_us FROM events)"
-QUERIES |= {"join_asof": join_asof, "join_interval": join_interval, "join_skewed": join_skewed}
+QUERIES |= {"join_full": join_full, "join_asof": join_asof, "join_interval": join_interval, "join_skewed": join_skewed}
 ORACLE_SQL |= {
     "join_asof": f"SELECT l.event_id, l.user_id, l.at_us AS at, r.seen_value FROM (SELECT * FROM {AT} WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT user_id, at_us, max(value) AS seen_value FROM {AT} WHERE event_type = 'view' GROUP BY ALL) r ON l.user_id = r.user_id AND l.at_us >= r.at_us",
     "join_interval": f"SELECT e.event_id AS error_id, p.event_id FROM {AT} e JOIN {AT} p ON e.event_type = 'error' AND p.event_type = 'purchase' AND e.at_us BETWEEN p.at_us - 3600000000 AND p.at_us",
