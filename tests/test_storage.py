@@ -269,6 +269,37 @@ def test_asof_bucketed_equals_plain(spark):
     assert all(x.v == max((t * 1.0 for t in range(5, 1000, 37) if t <= x.t), default=None) for x in a.where("k = 'a'").collect())
 
 
+def test_range_join_packed_equals_plain(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    starts = [r.choice([5, 5, 5, r.randrange(-300, 300), None]) for _ in range(200)]
+    spans = spark.createDataFrame([(i, lo, None if lo is None else lo + r.choice([-20, 0, 7, 40, 90])) for i, lo in enumerate(starts)], "s long, lo long, hi long")
+    points = spark.createDataFrame([(i, r.choice([9, 9, 9, r.randrange(-300, 400), None])) for i in range(200)], "p long, t long")
+    plain = Counter(map(tuple, points.join(spans, F.expr("t BETWEEN lo AND hi")).collect()))
+    for tile, pack, width in ((1024, 128, 40), (16, 4, 40), (1, 1, 100)):
+        monkeypatch.setattr(rows, "TILE", tile)
+        monkeypatch.setattr(rows, "PACK", pack)
+        got = rows.range_join(points, spans, "t", "lo", "hi", width)
+        assert got.columns == ["p", "t", "s", "lo", "hi"] and Counter(map(tuple, got.collect())) == plain
+    left = rows.range_join(points, spans, "t", "lo", "hi", 40, "left")
+    assert Counter(map(tuple, left.collect())) == Counter(map(tuple, points.join(spans, F.expr("t BETWEEN lo AND hi"), "left").collect()))
+
+
+def test_interval_pairs_are_stored_small(spark, tmp_path):
+    from tidemark.queries import ORACLE_SQL, QUERIES
+
+    kind = "IF(id % 2 = 0, 'error', 'purchase') AS event_type"
+    spark.range(6000).selectExpr("id AS event_id", kind, "timestamp_micros((id * 7919) % 6000 * 1000000) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    QUERIES["join_interval"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    spark.read.parquet(f"{tmp_path}/events.parquet").createOrReplaceTempView("events")
+    sums = ["count(1)", "count(error_id)", "count(event_id)", "sum(xxhash64(error_id, event_id) % 1000003)"]
+    got, want = spark.read.parquet(f"{tmp_path}/out").selectExpr(*sums).first(), spark.sql(ORACLE_SQL["join_interval"].replace("epoch_us(", "unix_micros(")).selectExpr(*sums).first()
+    assert got == want and got[0] > 3_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.5 * got[0]
+
+
 def test_full_join_in_tiles(spark):
     import random
     from collections import Counter

@@ -93,19 +93,56 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
     return rows.where("is_left = 1").select(*left.columns, *[F.col("seen")[f"r_{v}"].alias(v) for v in values])
 
 
+#: Rows of a key that the joins below take from each side at a time; spans that ``range_join`` packs, and its slices of a width at most.
+TILE, PACK, SLICES = 1024, 128, 16
+
+
+def tiles(df: DataFrame, keys: list[str], name: str, tile: int) -> DataFrame:
+    """Number of tiles of the keys that need more than one: fewer than one row for ``tile`` rows, to be broadcast."""
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias(name))
+    return F.broadcast(counts.where(f"{keys[0]} IS NOT NULL AND {name} > 1"))
+
+
+def own_tile(df: DataFrame, name: str) -> Column:
+    return F.pmod(F.xxhash64(*df.columns), F.coalesce(name, F.lit(1)))
+
+
+def all_tiles(name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(name, F.lit(1)) - 1))
+
+
+def places(df: DataFrame) -> int:
+    """Partitions of pairs, set by number: Spark would judge them by the bytes read, which say nothing of the pairs."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, width: int, how: str = "inner") -> DataFrame:
     """Points with the spans that hold them (closed), by equal buckets of ``width`` instead of a nested loop.
 
     A span goes to every bucket it touches; pick a width near the usual span.
+    For an inner join, the spans of a bucket are packed, in a crowded bucket
+    those that end near one another, and a pack passes by the points of its
+    bucket, of which crowded buckets have several tiles, each in a place of its
+    own.  So nearly all spans of such a pack hold a point or none does, only
+    packs whose extent holds the point are opened, and the pairs come as the
+    same short list of spans again and again, which a written result stores in
+    a fraction of a byte a row.  Rows equal in all columns stay in one pack or
+    tile.
     """
     p = points.withColumn("bucket_", F.floor(F.col(point) / F.lit(width)))
     s = spans.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(low) / F.lit(width)), F.floor(F.col(high) / F.lit(width)))))
-    inside = (p["bucket_"] == s["bucket_"]) & F.col(point).between(F.col(low), F.col(high))
-    return p.join(s, inside, how).drop("bucket_")
-
-
-#: Rows of a key that ``full_join`` takes from each side at a time.
-TILE = 1024
+    inside = F.col(point).between(F.col(low), F.col(high))
+    if how != "inner":
+        return p.join(s, (p["bucket_"] == s["bucket_"]) & inside, how).drop("bucket_")
+    n, crowds = places(points), tiles(p, ["bucket_"], "i_n", TILE)
+    s = s.join(tiles(s, ["bucket_"], "s_n", PACK), "bucket_", "left").withColumn("slice_", F.when(F.col("s_n").isNotNull(), F.floor(F.col(high) / F.lit(width) * F.least("s_n", F.lit(SLICES)))))
+    s = s.withColumn("slice_", F.coalesce("slice_", F.lit(0).cast("long"))).drop("s_n")
+    s = s.join(tiles(s, ["bucket_", "slice_"], "k_n", PACK), ["bucket_", "slice_"], "left").withColumn("k_", own_tile(spans, "k_n"))
+    packs = s.groupBy("bucket_", "slice_", "k_").agg(F.collect_list(F.struct(*spans.columns)).alias("pack_"), F.min(low).alias("from_"), F.max(high).alias("to_"))
+    packs = packs.join(crowds, "bucket_", "left").select("bucket_", all_tiles("i_n").alias("i_"), "pack_", "from_", "to_").repartition(n, "bucket_", "i_")
+    p = p.join(crowds, "bucket_", "left").withColumn("i_", own_tile(points, "i_n")).drop("i_n").repartition(n, "bucket_", "i_")
+    met = packs.hint("merge").join(p, ["bucket_", "i_"]).where(F.col(point).between(F.col("from_"), F.col("to_")))
+    return met.select(*points.columns, F.explode("pack_").alias("span_")).select(*points.columns, "span_.*").where(inside)
 
 
 def full_join(left: DataFrame, right: DataFrame, on: tuple[str, str], tile: int = TILE) -> DataFrame:
@@ -116,23 +153,15 @@ def full_join(left: DataFrame, right: DataFrame, on: tuple[str, str], tile: int
     tiles by a hash of the row; each two tiles of a key meet in a place of
     their own, as an inner merge join that hands pairs on as they come, and
     rows whose key the other side lacks (null keys too) are added.  Tiles are
-    numbered from exact counts; only keys of more than ``tile`` rows are
-    broadcast, less than one for ``tile`` rows of the input.  Partitions are
-    set by number, since their bytes say nothing of the pairs.  Rows equal in
-    all columns stay in one tile.
+    numbered from exact counts.  Rows equal in all columns stay in one tile.
     """
-    spark, (a, b) = left.sparkSession, on
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-
-    def tiles(df: DataFrame, key: str, name: str) -> DataFrame:
-        counts = df.groupBy(F.col(key).alias("key_")).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias(name))
-        return F.broadcast(counts.where(f"key_ IS NOT NULL AND {name} > 1"))
+    a, b = on
+    counts = [tiles(df.withColumn("key_", F.col(k)), ["key_"], name, tile) for df, k, name in ((left, a, "i_n"), (right, b, "j_n"))]
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        rows = df.where(F.col(key).isNotNull()).withColumn("key_", F.col(key)).join(tiles(left, a, "i_n"), "key_", "left").join(tiles(right, b, "j_n"), "key_", "left")
-        rows = rows.withColumn(f"{own}_", F.pmod(F.xxhash64(*df.columns), F.coalesce(f"{own}_n", F.lit(1))))
-        rows = rows.withColumn(f"{other}_", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_n", F.lit(1)) - 1)))
-        return rows.drop("i_n", "j_n").repartition(n, "key_", "i_", "j_")
+        rows = df.where(F.col(key).isNotNull()).withColumn("key_", F.col(key)).join(counts[0], "key_", "left").join(counts[1], "key_", "left")
+        rows = rows.withColumn(f"{own}_", own_tile(df, f"{own}_n")).withColumn(f"{other}_", all_tiles(f"{other}_n"))
+        return rows.drop("i_n", "j_n").repartition(places(left), "key_", "i_", "j_")
 
     pairs = dealt(left, a, "i", "j").join(dealt(right, b, "j", "i").hint("merge"), ["key_", "i_", "j_"]).select(*left.columns, *right.columns)
     alone = left.join(right.select(b).distinct(), F.col(a) == F.col(b), "left_anti"), right.join(left.select(a).distinct(), F.col(a) == F.col(b), "left_anti")
